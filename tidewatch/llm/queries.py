@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, secret_scan
-from .common import table
+from . import chat, decontam, langid, lm_score, order_minhash, piece_codec, pii, quality, secret_scan, url_filter
+from .common import hash_share, table
+
+#: A SentencePiece model with byte fallback.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Rows of the labelled URL table.
+LABELLED_URLS = 2000
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +26,47 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.cuts(docs)))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan}
-ORACLES: dict[str, str] = {}
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.learn(docs)))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), PIECES, seed=1)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "distances")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = url_filter.parsed(pages, ["page_id"]).where("fit is not null")
+    n = rows.count()
+    # the labelled table: about half of its bound, of the urls that a rule decides
+    some = rows.where(hash_share(F.col("page_id"), LABELLED_URLS / 2 / max(n, 1), "urls"))
+    model = url_filter.train(some.select("host", "path", (F.col("fit.verdict") == "block").alias("blocked")), LABELLED_URLS)
+    return url_filter.judge(pages, model)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = lm_score.count(lm_score.marked(docs, table(spark, sf_dir, "labels")))
+    return lm_score.score(docs, lm_score.fit(counts))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_pii, op5_chat, op6_piece_codec, op7_quality_rules, op8_decontamination, op9_url_filter, op10_lm_score)}
+ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE}
