@@ -1 +1 @@
-
+"""Operators of the risk engine."""

@@ -1 +1 @@
-
+"""Query plans of the risk engine."""

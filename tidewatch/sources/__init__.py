@@ -1 +1 @@
-
+"""Sources, sinks and keyed storage of daily bars."""

@@ -1 +1 @@
-
+"""Streaming forms of the risk engine."""
