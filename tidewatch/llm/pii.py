@@ -133,7 +133,7 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[n
     return q, table
 
 
-def learn(docs: DataFrame, rounds: int = 400, decay: float = 1e-3) -> Classifier | None:
+def learn(docs: DataFrame, rounds: int = 3000, decay: float = 1e-3) -> Classifier | None:
     """The span classifier from all texts of ``docs``; None if there is no candidate."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(text.alias("text")).select("text", F.concat(*base_spans(F.col("text")).values()).alias("base"))
@@ -149,8 +149,8 @@ def learn(docs: DataFrame, rounds: int = 400, decay: float = 1e-3) -> Classifier
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(hot @ w + b)))
         g = share * (p - y)
-        w -= 2.0 * (hot.T @ g + decay * w)
-        b -= 2.0 * g.sum()
+        w -= 0.5 * (hot.T @ g + decay * w)
+        b -= 0.5 * g.sum()
     weights, at = {}, 0
     for k, size in FEATURES.items():
         weights[k] = [round(float(v), 6) for v in w[at : at + size]]
@@ -205,7 +205,6 @@ def redact(docs: DataFrame, model: Classifier | None, least: float = 0.9) -> Dat
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
-        gap = F.expr("substring(text, 1, 0)")
         gap = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
         out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(x["k"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))

@@ -59,14 +59,12 @@ def parsed(pages: DataFrame, keep: list[str], rules: tuple = RULES) -> DataFrame
 def slots(host: Column, path: Column) -> Column:
     """Slots of the distinct hashed n-grams of host and path; the ends are marked."""
 
-    def grams(part: Column, tag: str) -> list[Column]:
+    def grams(part: Column, tag: str, n: int) -> Column:
         s = F.concat(F.lit("^"), part, F.lit("$"))
-        return [
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(f"{tag}{n}"), F.substring(s, i, n)), F.lit(SLOTS)).cast("int"))
-            for n in SIZES
-        ]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(f"{tag}{n}"), F.substring(s, i, F.lit(n))), F.lit(SLOTS)).cast("int"))
 
-    return F.array_distinct(F.concat(*grams(host, "h"), *grams(path, "p")))
+    return F.array_distinct(F.concat(*[grams(host, "h", n) for n in SIZES], *[grams(path, "p", n) for n in SIZES]))
 
 
 @dataclass
@@ -75,7 +73,7 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [0.0] * SLOTS)
 
 
-def train(labelled: DataFrame, rows: int, rounds: int = 300, decay: float = 1e-4) -> Model:
+def train(labelled: DataFrame, rows: int, rounds: int = 800, decay: float = 1e-4) -> Model:
     """A model from (host, path, blocked), which must have at most ``rows`` rows."""
     table = labelled.select(F.col("blocked").cast("int").alias("y"), F.array_sort(slots(F.col("host"), F.col("path"))).alias("x")).limit(rows + 1).collect()
     if len(table) > rows:
@@ -90,8 +88,8 @@ def train(labelled: DataFrame, rows: int, rounds: int = 300, decay: float = 1e-4
     w, b = np.zeros(SLOTS), 0.0
     for _ in range(rounds):
         g = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= 4.0 * (x.T @ g / len(y) + decay * w)
-        b -= 4.0 * g.mean()
+        w -= 2.0 * (x.T @ g / len(y) + decay * w)
+        b -= 2.0 * g.mean()
     return Model(round(float(b), 6), [round(float(v), 6) for v in w])
 
 
