@@ -28,7 +28,7 @@ def schema_faults(df: DataFrame, expected: T.StructType) -> list[str]:
 def bar_checks() -> dict[str, Column]:
     """Conditions that hold for a faulty bar, by name."""
     c = F.col
-    out = {f"{k}_null": c(k).isNull() for k in ("ticker", "trade_date", *PRICES)}
+    out = {f"{k}_null": c(k).isNull() for k in ("ticker", "trade_date")} | {f"{k}_null": c(k).isNull() | F.isnan(k) for k in PRICES}
     out |= {f"{k}_not_positive": c(k) <= 0 for k in PRICES}
     return out | {
         "volume_negative": c("volume") < 0,
