@@ -316,7 +316,8 @@ def test_classes_of_awkward_tables(spark):
 
 def test_blocks_find_what_all_pairs_find():
     texts = near_texts(random.Random(7))
-    links = order_minhash.compare_block(list(range(len(texts))), texts, [0] * len(texts))
+    links = order_minhash.compare_block(5, list(range(len(texts))), texts, [0] * len(texts), [{5, 9}] * len(texts))
+    assert not order_minhash.compare_block(9, list(range(len(texts))), texts, [0] * len(texts), [{5, 9}] * len(texts))
     assert all(order_minhash.alike(texts[a], texts[b]) and a < b for a, b in links)
     root = list(range(len(texts)))
     for a, b in links:
