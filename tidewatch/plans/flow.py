@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import cleaning, features, har, recursions
 from tidewatch.sources import market
+from tidewatch.sources.storage import stage
 
 #: The moment of the run: bars of later sessions are partial.
 AS_OF = "2001-10-17 12:00:00"
@@ -22,6 +23,8 @@ class Flow:
     spark: SparkSession
     sf_dir: str
     as_of: str = AS_OF
+    #: Whether clean bars are written once, for queries with several branches on them; else all is one lazy plan.
+    staged: bool = False
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -37,7 +40,8 @@ class Flow:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cleaning.clean_bars(self.raw, self.calendar, self.as_of)
+        rows = cleaning.clean_bars(self.raw, self.calendar, self.as_of)
+        return stage(rows, "clean") if self.staged else rows
 
     @cached_property
     def features(self) -> DataFrame:

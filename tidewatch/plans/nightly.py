@@ -39,7 +39,7 @@ def enforce(table: DataFrame) -> None:
 
 def run(spark: SparkSession, sf_dir: str, folder: str, as_of: str = AS_OF, trees: int = TREES, strict: bool = True) -> dict[str, float]:
     """Lands, validates, cleans, builds features, forecasts with all five models, evaluates and stores; seconds by stage."""
-    store, flow, took = Store(spark, folder), Flow(spark, sf_dir, as_of), {}
+    store, flow, took = Store(spark, folder), Flow(spark, sf_dir, as_of, staged=True), {}
 
     def stage(name: str, work) -> None:
         began = time.time()

@@ -23,16 +23,21 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(build):
+def query(build, staged: bool = False):
     """Registers ``build(flow)`` under its name."""
 
     def run(spark, sf_dir):
-        return rounded(build(Flow(spark, sf_dir)))
+        return rounded(build(Flow(spark, sf_dir, staged=staged)))
 
     QUERIES[build.__name__] = run
     return run
 
 
+def branched(build):
+    """A query with several branches on the clean bars: trades are read once, and the bars written."""
+    return query(build, staged=True)
+
+
 def _with_faults(raw: DataFrame) -> DataFrame:
     """Bars of which some are spoiled by rule, and some copied."""
     day = F.dayofmonth("trade_date")
@@ -125,10 +130,10 @@ def features_canary(f: Flow) -> DataFrame:
     return features.summary(f.features)
 
 
-@query
+@branched
 def feature_cross_check(f: Flow) -> DataFrame:
-    """Features against the same built from re-read bars in another order."""
-    again = features.build(cleaning.clean_bars(f.raw.repartition("trade_date"), f.calendar, f.as_of))
+    """Features against the same built from bars dealt out otherwise."""
+    again = features.build(f.clean.repartition("trade_date"))
     return features.cross_check(f.features, again, ["log_return", "rvol_5", "rvol_63", "har_rv_m"])
 
 
@@ -157,7 +162,7 @@ def har_forecasts(f: Flow) -> DataFrame:
     return har.forecasts(f.features)
 
 
-@query
+@branched
 def har_live(f: Flow) -> DataFrame:
     return har.live(f.features)
 
@@ -167,101 +172,101 @@ def garch_filter_fixed(f: Flow) -> DataFrame:
     return recursions.garch_filter(f.clean, GARCH)
 
 
-@query
+@branched
 def garch_refits(f: Flow) -> DataFrame:
     return garch.effective(garch.refits(f.clean))
 
 
-@query
+@branched
 def garch_forecasts(f: Flow) -> DataFrame:
     return garch.forecasts(f.clean, garch.effective(garch.refits(f.clean)))
 
 
-@query
+@branched
 def har_walk_forward(f: Flow) -> DataFrame:
     """The generic harness with a least-squares regressor; its forecasts are those of ``har_forecasts``."""
     rows = walkforward.walk_forward(f.features, features.HAR_COLUMNS, walkforward.har_factory, har.HAR_TAG)
     return rows.where("not is_live and not skipped").select("ticker", "trade_date", "model", "var_forecast", "floored")
 
 
-@query
+@branched
 def boosted_forecasts(f: Flow) -> DataFrame:
     return walkforward.walk_forward(f.features, features.TREE_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm")
 
 
-@query
+@branched
 def boosted_vix_forecasts(f: Flow) -> DataFrame:
     rows = features.with_vix(f.features, f.vix)
     return walkforward.walk_forward(rows, features.TREE_COLUMNS + features.VIX_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm_vix")
 
 
-@query
+@branched
 def ablation(f: Flow) -> DataFrame:
     return evaluate.ablation(f.forecasts, f.features)
 
 
-@query
+@branched
 def ablation_average(f: Flow) -> DataFrame:
     return evaluate.with_average(evaluate.ablation(f.forecasts, f.features))
 
 
-@query
+@branched
 def ablation_span(f: Flow) -> DataFrame:
     return evaluate.uniform_span(evaluate.ablation(f.forecasts, f.features))
 
 
-@query
+@branched
 def var_daily(f: Flow) -> DataFrame:
     return dashboard.derived(dashboard.var_daily(f.forecasts, f.clean))
 
 
-@query
+@branched
 def var_breaches(f: Flow) -> DataFrame:
     return risk.breaches(risk.common_returns(f.forecasts, f.clean))
 
 
-@query
+@branched
 def var_coverage(f: Flow) -> DataFrame:
     return risk.coverage(risk.common_returns(f.forecasts, f.clean))
 
 
-@query
+@branched
 def var_coverage_p(f: Flow) -> DataFrame:
     """With the p-value, which neither engine's SQL has."""
     return risk.with_p(risk.coverage(risk.common_returns(f.forecasts, f.clean)))
 
 
-@query
+@branched
 def calibration_factors(f: Flow) -> DataFrame:
     return risk.calibration_factors(risk.common_returns(f.forecasts, f.clean), f.features)
 
 
-@query
+@branched
 def calibrated_live(f: Flow) -> DataFrame:
     return risk.calibrated_live(f.live, f.features)
 
 
-@query
+@branched
 def var_coverage_cal(f: Flow) -> DataFrame:
     return risk.backtest(f.forecasts, f.clean, f.features)
 
 
-@query
+@branched
 def verdicts(f: Flow) -> DataFrame:
     return risk.verdicts(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@query
+@branched
 def coverage_summary(f: Flow) -> DataFrame:
     return risk.coverage_summary(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@query
+@branched
 def report_window(f: Flow) -> DataFrame:
     return risk.report_window(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@query
+@branched
 def forecast_vs_realized(f: Flow) -> DataFrame:
     return dashboard.forecast_vs_realized(f.forecasts, f.features)
 
@@ -271,32 +276,32 @@ def vol_regime(f: Flow) -> DataFrame:
     return dashboard.vol_regime(f.features)
 
 
-@query
+@branched
 def latest_forecast(f: Flow) -> DataFrame:
     return dashboard.latest_forecast(f.forecasts)
 
 
-@query
+@branched
 def cumulative_breaches(f: Flow) -> DataFrame:
     return dashboard.cumulative_breaches(dashboard.var_daily(f.forecasts, f.clean))
 
 
-@query
+@branched
 def dashboard_measures(f: Flow) -> DataFrame:
     return dashboard.measures(dashboard.var_daily(f.forecasts, f.clean), ["ticker", "model"])
 
 
-@query
+@branched
 def coverage_measures(f: Flow) -> DataFrame:
     return dashboard.coverage_measures(risk.coverage(risk.common_returns(f.forecasts, f.clean)), ["model"])
 
 
-@query
+@branched
 def vol_measures(f: Flow) -> DataFrame:
     return dashboard.vol_measures(dashboard.forecast_vs_realized(f.forecasts, f.features), ["ticker", "model"])
 
 
-@query
+@branched
 def data_age(f: Flow) -> DataFrame:
     return dashboard.data_age(dashboard.latest_forecast(f.forecasts), F.lit("2001-12-01").cast("date"))
 
@@ -306,7 +311,7 @@ def dim_date(f: Flow) -> DataFrame:
     return dashboard.dim_date(f.vix, "1995-01-01", F.lit("2002-12-31").cast("date"))
 
 
-@query
+@branched
 def dim_ticker_model(f: Flow) -> DataFrame:
     tickers, models = dashboard.dimensions(dashboard.var_daily(f.forecasts, f.clean))
     return tickers.select(F.lit("ticker").alias("kind"), F.col("ticker").alias("value")).unionByName(models.select(F.lit("model").alias("kind"), F.col("model").alias("value")))
@@ -323,7 +328,7 @@ def audit_actions(f: Flow) -> DataFrame:
     return audit.around_actions(f.raw, actions)
 
 
-@query
+@branched
 def canaries(f: Flow) -> DataFrame:
     return nightly.canaries(f.clean, f.features, har.forecasts(f.features))
 

@@ -6,7 +6,9 @@ and a one-row pointer then names that version.
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,18 @@ def guard(existing: DataFrame, incoming: DataFrame, force: bool = False) -> Data
     return both.select("ticker", "n_old", "n_new", status.alias("status"))
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder that all executors share and read back, for what several branches of a plan need.
+
+    The lineage is cut, the file sizes tell the planner what is small, and a lost executor costs nothing.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-stage-")
+    path = f"{folder}/tidewatch-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables under a folder, each with numbered versions and a pointer to the current one."""
 
