@@ -328,6 +328,44 @@ def test_blocks_find_what_all_pairs_find():
             assert root[i] == root[j] or not order_minhash.alike(texts[i], texts[j])
 
 
+def meet(a, b):
+    known = {}
+    x, y = (order_minhash.keys_of(order_minhash.word_hashes(t.encode().split(), known)) for t in (a, b))
+    return bool(set(x.tolist()) & set(y.tolist()))
+
+
+def test_short_texts_within_the_budget_always_meet():
+    rng = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(50)]
+    found = 0
+    for _ in range(4000):
+        a = words(rng, vocabulary, rng.randint(1, 14)).split()
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 1)
+        a, b = " ".join(a), " ".join(b)
+        if b and len(b.split()) <= 14 and order_minhash.alike(a, b):
+            found += 1
+            assert meet(a, b), (a, b)
+    assert found > 1000
+
+
+@pytest.mark.parametrize("n", [15, 20, 40, 100, 300])
+def test_texts_at_the_threshold_meet(n):
+    rng = random.Random(n)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    hits = 0
+    for _ in range(60):
+        a = words(rng, vocabulary, n).split()
+        b = list(a)
+        for i in rng.sample(range(n), n // 5):
+            b[i] = "edit%d" % i
+        assert order_minhash.alike(" ".join(a), " ".join(b))
+        hits += meet(" ".join(a), " ".join(b))
+    assert hits >= 54
+
+
 # -- chat -------------------------------------------------------------------------
 
 
