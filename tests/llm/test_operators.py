@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -249,6 +250,17 @@ def test_language_query(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_a_mislabelled_row_doesnt_switch_rejection_off(spark):
+    rng = random.Random(21)
+    es = ["el", "invierno", "casa", "debajo", "viejos", "árboles", "mientras", "niños", "caminan", "largo", "río", "con", "pan", "del", "mercado", "hacia"]
+    texts = [words(rng, EN if i % 2 else DE, 60) for i in range(800)]
+    odd = next(i for i in range(800) if zlib.crc32(b"%d" % i) % 4 == 1)
+    texts[odd] = "".join(rng.choice("жшщъыэюяґђѓєљњћќ") for _ in range(400))
+    model = langid.fit(frame(spark, texts, ["en" if i % 2 else "de" for i in range(800)]))
+    assert langid.judge(model, [words(rng, es, 60) for _ in range(50)])["rejected"].mean() > 0.9
+    assert langid.judge(model, texts)["rejected"].mean() < 0.02
+
+
 # -- near-duplicates --------------------------------------------------------------
 
 

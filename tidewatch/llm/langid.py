@@ -4,8 +4,9 @@ Each language gets an order-4 character model with absolute discounting and
 continuation counts below the top order.  The models of all languages live in
 one sorted array of n-gram keys per order, with a row of log-probabilities (one
 column per language) beside each key.  A text goes to the language with the
-lowest cross-entropy per character; a rejection bound on that cross-entropy is
-calibrated on labelled documents that the models have not counted.
+lowest cross-entropy per character; a rejection bound on that cross-entropy, a quantile by
+language and length class, is calibrated on labelled documents that the models have
+not counted, so that a few mixed or mislabelled ones don't move it.
 
 Edge cases: a null text, an empty one, or one with no letter gets ``und``, score
 0 and ``rejected``.  Rows are judged one by one, so repeated rows and repeated
@@ -30,6 +31,11 @@ DISCOUNT = 0.75
 UND = "und"
 #: Characters that are worked on at once, so that memory doesn't follow the length of a text.
 CHUNK = 1_500_000
+#: Length classes, in characters, of the rejection bounds; the quantile of the labelled gaps, and the least documents of a class that have one of their own.
+CLASSES = (50, 200, 1000)
+QUANTILE, CLASS_DOCS = 0.98, 50
+#: A bound is at least this share of the way from a language's mean to the uniform distribution.
+LEAST_SHARE = 0.25
 
 
 @dataclass
@@ -43,9 +49,8 @@ class Model:
     bow: dict[int, np.ndarray] = field(default_factory=dict)
     floor: float = 0.0
     mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    limit: float = math.inf
-    margin: float = 0.0
+    #: By language and length class, how far above the mean a cross-entropy may lie.
+    bounds: np.ndarray | None = None
     temper: float = 1.0
 
 
@@ -221,7 +226,7 @@ def fit(
     Rows with remainder 1 of crc32(doc_id) mod 4 calibrate, the others are counted.
     ``docs_per_lang`` and ``calibration_docs_per_lang`` bound, in expectation, the
     documents of each language that are used; they are chosen by a hash of the id.
-    ``slack`` widens the rejection bound beyond the worst calibration document.
+    ``slack`` widens the rejection bounds beyond the calibration documents' QUANTILE.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text", (fold == 1).alias("held"))
@@ -253,9 +258,9 @@ def fit(
 
 
 def _calibrate(model: Model, held: pd.DataFrame, slack: float) -> None:
-    """Mean and spread of each language's own cross-entropy, the rejection bound, and the score's temperature."""
+    """Mean of each language's own cross-entropy, the rejection bounds, and the score's temperature."""
     width = len(model.langs)
-    model.mean, model.spread = np.full(width, -model.floor), np.ones(width)
+    model.mean, model.bounds = np.full(width, -model.floor), np.full((width, len(CLASSES) + 1), math.inf)
     if not len(held):
         return
     h, n = np.array(held["h"].tolist()), held["n"].to_numpy()
@@ -264,11 +269,15 @@ def _calibrate(model: Model, held: pd.DataFrame, slack: float) -> None:
     for j in range(width):
         if (own == j).any():
             model.mean[j] = np.average(mine[own == j], weights=n[own == j])
-            model.spread[j] = max(1e-3, math.sqrt(np.mean((mine[own == j] - model.mean[j]) ** 2 * n[own == j])))
-    z = (mine - model.mean[own]) * np.sqrt(n) / model.spread[own]
-    model.limit = max(3.0, float(z.max())) * slack
-    # long mixed texts have a large z at a small gap: both bounds must be passed
-    model.margin = max(0.4 * float(np.min(-model.floor - model.mean)), float((mine - model.mean[own])[n >= 200].max(initial=0.0)) * slack)
+    above, size = mine - model.mean[own], np.digitize(n, CLASSES)
+    for j in range(width):
+        least = LEAST_SHARE * (-model.floor - model.mean[j])
+        for k in range(len(CLASSES) + 1):
+            some = (own == j) & (size == k)
+            if some.sum() < CLASS_DOCS:
+                some = own == j
+            if some.any():
+                model.bounds[j, k] = max(least, float(np.quantile(above[some], QUANTILE)) * slack)
     gap = (h - h.min(1, keepdims=True)) * np.sqrt(n)[:, None]
 
     def loss(t: float) -> float:
@@ -287,8 +296,7 @@ def judge(model: Model, texts: list[str]) -> pd.DataFrame:
     low = h[np.arange(len(h)), best]
     some = n > 0
     e = np.exp(-model.temper * (h - low[:, None]) * np.sqrt(n)[:, None])
-    gap = low - model.mean[best]
-    odd = (gap * np.sqrt(n) / model.spread[best] > model.limit) & (gap > model.margin)
+    odd = low - model.mean[best] > model.bounds[best, np.digitize(n, CLASSES)]
     return pd.DataFrame(
         {
             "lang_pred": np.where(some, np.array(model.langs, object)[best], UND),
