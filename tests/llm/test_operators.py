@@ -490,6 +490,17 @@ def test_forest_isolates_odd_rows():
         assert path[k] >= depth
 
 
+def test_the_cut_catches_bad_rows(spark):
+    rows = [(i, 60, 0, 0.4 + (i % 50) / 500) for i in range(100)] + [(i, 60, 0, 0.48 + (i % 20) / 200) for i in range(100, 120)] + [(120, 3, 0, 0.9)]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, anomaly double")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(121)], "doc_id long, quality int, toxic int")
+    best = max(sum(a > c for _, _, _, a in rows[100:120]) / 20 - sum(a > c for _, _, _, a in rows[:100]) / 100 for c in {r[3] for r in rows})
+    cut = quality.threshold(stats, labels)
+    caught, lost = (sum(a > cut for _, _, _, a in x) / len(x) for x in (rows[100:120], rows[:100]))
+    assert caught - lost == pytest.approx(best) and caught >= 0.6
+    assert quality.threshold(stats, labels.where("quality = 1")) == 1.0
+
+
 # -- decontamination --------------------------------------------------------------
 
 

@@ -4,13 +4,12 @@ Two plain rules fail a text (under 50 words, or more than half of its words in
 repeated three-word windows).  The statistics behind the rules, and a few more of
 the same kind, go to an isolation forest: random splits isolate odd rows on short
 paths.  The forest is fitted on a bounded sample of all rows; the cut on its
-score is calibrated from every labelled row, so that at most a set share of the
-rows labelled good is rejected.
+score has the best balanced accuracy over every labelled row that the rules let pass.
 
 Edge cases: a null or empty text has no words, all statistics 0 and fails.  Rows
 are judged one by one (repeated rows, repeated ids and extra columns change
 nothing); labels with a null id or quality are passed over, of several labels of
-one id the lowest counts; without labels only the rules decide.  An empty table
+one id the lowest counts; without labels of both kinds only the rules decide.  An empty table
 gives an empty result.
 """
 
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_share, stored
@@ -167,17 +166,27 @@ def scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
     return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double")
 
 
-def threshold(rows: DataFrame, labels: DataFrame, false_share: float = 0.002) -> float:
-    """The lowest anomaly above which at most ``false_share`` of the rows labelled good lie; 1 without such rows."""
+def failed() -> Column:
+    """Whether a plain rule fails the row."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def threshold(rows: DataFrame, labels: DataFrame) -> float:
+    """The cut on the anomaly with the best balanced accuracy over the labelled rows that the rules let pass; 1 unless there are rows of both labels."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = rows.where("n_words > 0").select("doc_id", "anomaly").join(marks.where("quality = 1"), "doc_id")
-    counts = sorted((r["anomaly"], r["count"]) for r in good.groupBy("anomaly").count().collect())  # at most 10,001 values
-    total = above = sum(n for _, n in counts)
-    for value, n in counts:
-        above -= n
-        if above <= false_share * total:
-            return value
-    return 1.0
+    some = rows.where(~failed()).select("doc_id", "anomaly").join(marks.where("quality in (0, 1)"), "doc_id")
+    found = some.groupBy("anomaly").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good")).collect()  # at most 10,001 values
+    counts = sorted((r["anomaly"], r["bad"], r["good"]) for r in found)
+    all_bad, all_good = sum(b for _, b, _ in counts), sum(g for _, _, g in counts)
+    if not all_bad or not all_good:
+        return 1.0
+    best, cut, bad, good = 0.0, 1.0, all_bad, all_good
+    for value, b, g in reversed(counts):  # rows above the value are rejected; of equal cuts the highest counts
+        gain = (all_bad - bad) / all_bad - (all_good - good) / all_good
+        if gain > best:
+            best, cut = gain, value
+        bad, good = bad - b, good - g
+    return cut
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,5 +194,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = stored(statistics(docs), "quality-statistics")  # read three times, and a hundredth of the texts
     rows = scored(stats, fit(stats))
     cut = threshold(rows, labels)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("anomaly") <= cut)).alias("kept"), "anomaly", F.lit(cut).alias("threshold"))
+    return rows.select("doc_id", *COUNTS, failed().alias("base_failed"), (~failed() & (F.col("anomaly") <= cut)).alias("kept"), "anomaly", F.lit(cut).alias("threshold"))
