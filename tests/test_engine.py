@@ -358,6 +358,15 @@ def test_boosted_trees_learn():
 # -- evaluation and risk ----------------------------------------------------------
 
 
+def test_the_runs_grow_all_trees():
+    import inspect
+
+    from tidewatch.plans import nightly
+
+    assert nightly.TREES == inspect.signature(walkforward.BoostedTrees).parameters["trees"].default == 300
+    assert inspect.signature(nightly.run).parameters["trees"].default == 300
+
+
 @pytest.fixture(scope="module")
 def forecasts(clean, feats):
     rows = recursions.ewma_forecasts(clean).unionByName(har.forecasts(feats).drop("floored")).withColumn("is_live", F.lit(False))

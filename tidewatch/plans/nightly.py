@@ -12,8 +12,8 @@ from tidewatch.sources.storage import Store
 
 from .flow import AS_OF, Flow
 
-#: Trees of the boosted models; the reference uses 300 of a native library.
-TREES = 40
+#: Trees of the boosted models, as in the reference.
+TREES = 300
 KEYS = ["ticker", "trade_date", "model"]
 
 
