@@ -37,3 +37,16 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_sql_has_its_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_reports_cover_all_five_models(spark):
+    from tidewatch.operators import evaluate
+    from tidewatch.plans.flow import Flow
+
+    f = Flow(spark, TABLES, staged=True, all_models=True, trees=2)
+    five = set(evaluate.BASE_MODELS)
+    assert {r["model"] for r in evaluate.ablation(f.forecasts, f.features).collect()} == five
+    live = [(r["ticker"], r["model"]) for r in f.live.collect()]
+    # lgbm_vix has no live row on this table: the harness skips it
+    assert five - {"lgbm_vix"} <= {m for _, m in live} <= five and len(live) == len(set(live))
+    assert {f"{n}_all_models" for n in ("ablation", "var_daily", "var_breaches", "var_coverage", "var_coverage_cal", "verdicts", "calibrated_live", "report_window")} <= set(registry.QUERIES)

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import cleaning, evaluate, features, garch, risk, validation, walkforward
 from tidewatch.sources.storage import Store
 
-from .flow import AS_OF, Flow
+from .flow import AS_OF, TREES, Flow
 
-#: Trees of the boosted models, as in the reference.
-TREES = 300
 KEYS = ["ticker", "trade_date", "model"]
 
 

@@ -38,6 +38,16 @@ def branched(build):
     return query(build, staged=True)
 
 
+def reporting(build):
+    """A query on forecasts: under its name on the two models that its SQL has, and with ``_all_models`` on all five."""
+
+    def run(spark, sf_dir):
+        return rounded(build(Flow(spark, sf_dir, staged=True, all_models=True)))
+
+    QUERIES[f"{build.__name__}_all_models"] = run
+    return branched(build)
+
+
 def _with_faults(raw: DataFrame) -> DataFrame:
     """Bars of which some are spoiled by rule, and some copied."""
     day = F.dayofmonth("trade_date")
@@ -200,73 +210,73 @@ def boosted_vix_forecasts(f: Flow) -> DataFrame:
     return walkforward.walk_forward(rows, features.TREE_COLUMNS + features.VIX_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm_vix")
 
 
-@branched
+@reporting
 def ablation(f: Flow) -> DataFrame:
     return evaluate.ablation(f.forecasts, f.features)
 
 
-@branched
+@reporting
 def ablation_average(f: Flow) -> DataFrame:
     return evaluate.with_average(evaluate.ablation(f.forecasts, f.features))
 
 
-@branched
+@reporting
 def ablation_span(f: Flow) -> DataFrame:
     return evaluate.uniform_span(evaluate.ablation(f.forecasts, f.features))
 
 
-@branched
+@reporting
 def var_daily(f: Flow) -> DataFrame:
     return dashboard.derived(dashboard.var_daily(f.forecasts, f.clean))
 
 
-@branched
+@reporting
 def var_breaches(f: Flow) -> DataFrame:
     return risk.breaches(risk.common_returns(f.forecasts, f.clean))
 
 
-@branched
+@reporting
 def var_coverage(f: Flow) -> DataFrame:
     return risk.coverage(risk.common_returns(f.forecasts, f.clean))
 
 
-@branched
+@reporting
 def var_coverage_p(f: Flow) -> DataFrame:
     """With the p-value, which neither engine's SQL has."""
     return risk.with_p(risk.coverage(risk.common_returns(f.forecasts, f.clean)))
 
 
-@branched
+@reporting
 def calibration_factors(f: Flow) -> DataFrame:
     return risk.calibration_factors(risk.common_returns(f.forecasts, f.clean), f.features)
 
 
-@branched
+@reporting
 def calibrated_live(f: Flow) -> DataFrame:
     return risk.calibrated_live(f.live, f.features)
 
 
-@branched
+@reporting
 def var_coverage_cal(f: Flow) -> DataFrame:
     return risk.backtest(f.forecasts, f.clean, f.features)
 
 
-@branched
+@reporting
 def verdicts(f: Flow) -> DataFrame:
     return risk.verdicts(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@branched
+@reporting
 def coverage_summary(f: Flow) -> DataFrame:
     return risk.coverage_summary(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@branched
+@reporting
 def report_window(f: Flow) -> DataFrame:
     return risk.report_window(risk.backtest(f.forecasts, f.clean, f.features))
 
 
-@branched
+@reporting
 def forecast_vs_realized(f: Flow) -> DataFrame:
     return dashboard.forecast_vs_realized(f.forecasts, f.features)
 
@@ -276,32 +286,32 @@ def vol_regime(f: Flow) -> DataFrame:
     return dashboard.vol_regime(f.features)
 
 
-@branched
+@reporting
 def latest_forecast(f: Flow) -> DataFrame:
     return dashboard.latest_forecast(f.forecasts)
 
 
-@branched
+@reporting
 def cumulative_breaches(f: Flow) -> DataFrame:
     return dashboard.cumulative_breaches(dashboard.var_daily(f.forecasts, f.clean))
 
 
-@branched
+@reporting
 def dashboard_measures(f: Flow) -> DataFrame:
     return dashboard.measures(dashboard.var_daily(f.forecasts, f.clean), ["ticker", "model"])
 
 
-@branched
+@reporting
 def coverage_measures(f: Flow) -> DataFrame:
     return dashboard.coverage_measures(risk.coverage(risk.common_returns(f.forecasts, f.clean)), ["model"])
 
 
-@branched
+@reporting
 def vol_measures(f: Flow) -> DataFrame:
     return dashboard.vol_measures(dashboard.forecast_vs_realized(f.forecasts, f.features), ["ticker", "model"])
 
 
-@branched
+@reporting
 def data_age(f: Flow) -> DataFrame:
     return dashboard.data_age(dashboard.latest_forecast(f.forecasts), F.lit("2001-12-01").cast("date"))
 
@@ -311,7 +321,7 @@ def dim_date(f: Flow) -> DataFrame:
     return dashboard.dim_date(f.vix, "1995-01-01", F.lit("2002-12-31").cast("date"))
 
 
-@branched
+@reporting
 def dim_ticker_model(f: Flow) -> DataFrame:
     tickers, models = dashboard.dimensions(dashboard.var_daily(f.forecasts, f.clean))
     return tickers.select(F.lit("ticker").alias("kind"), F.col("ticker").alias("value")).unionByName(models.select(F.lit("model").alias("kind"), F.col("model").alias("value")))
