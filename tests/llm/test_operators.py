@@ -318,6 +318,40 @@ def test_classes_against_all_pairs(spark):
     assert {i: got[i]["class_id"] for i in got} == {i: find(i) for i in range(len(texts))}
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """Texts that share most of their words but are unlike, by far more than a bucket may hold, with a few alike pairs among them."""
+    monkeypatch.setattr(order_minhash, "CROWD", 4)
+    rng = random.Random(60)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    passage, line = words(rng, vocabulary, 50), words(rng, vocabulary, 9)
+    texts = [f"{passage} {words(rng, vocabulary, 40)}" for _ in range(60)] + [f"{line} {words(rng, vocabulary, 4)}" for _ in range(60)]
+    for t in texts[:6] + texts[60:64]:
+        copy = t.split()
+        copy[-3] = "edit"
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(frame(spark, texts)).collect()}
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if order_minhash.alike(texts[i], texts[j])}
+    assert {(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j]} == alike and len(alike) >= 10
+
+
+def test_finer_keys_leave_the_crowd():
+    rng = random.Random(61)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    passage = words(rng, vocabulary, 300).split()
+    hashes = [order_minhash.word_hashes([w.encode() for w in [*passage, *words(rng, vocabulary, 200).split()]], {}) for _ in range(2)]
+    crowded = np.intersect1d(*[order_minhash.keys_of(h)[0] for h in hashes])
+    assert len(crowded) > 10
+    fresh = [order_minhash.finer(h, crowded, crowded)[0] for h in hashes]
+    assert len(np.intersect1d(*fresh)) < len(crowded) / 5
+    everything = hashes[0]
+    keys, rounds = order_minhash.keys_of(everything)[0], 0
+    known = keys
+    while len(keys):  # a text all of whose keys stay crowded runs out of them
+        keys = order_minhash.finer(everything, known, keys)[0]
+        known, rounds = np.concatenate([known, keys]), rounds + 1
+    assert rounds < 40
+
+
 def test_classes_of_awkward_tables(spark):
     empty = frame(spark, ["a"]).limit(0)
     assert order_minhash.classes(empty).count() == 0
@@ -326,10 +360,11 @@ def test_classes_of_awkward_tables(spark):
     assert rows == [(1, 1), (1, 1), (2, 1), (None, None)]
 
 
-def test_blocks_find_what_all_pairs_find():
+def test_buckets_find_what_all_pairs_find():
     texts = near_texts(random.Random(7))
-    links = order_minhash.compare_block(5, list(range(len(texts))), texts, [0] * len(texts), [{5, 9}] * len(texts))
-    assert not order_minhash.compare_block(9, list(range(len(texts))), texts, [0] * len(texts), [{5, 9}] * len(texts))
+    links = order_minhash.compare(5, list(range(len(texts))), texts, [False] * len(texts), [{5, 9}] * len(texts))
+    assert not order_minhash.compare(9, list(range(len(texts))), texts, [False] * len(texts), [{5, 9}] * len(texts))
+    assert not order_minhash.compare(5, list(range(len(texts))), texts, [True] * len(texts), [{5, 9}] * len(texts))
     assert all(order_minhash.alike(texts[a], texts[b]) and a < b for a, b in links)
     root = list(range(len(texts)))
     for a, b in links:
@@ -343,7 +378,7 @@ def test_blocks_find_what_all_pairs_find():
 def meet(a, b):
     known = {}
     x, y = (order_minhash.keys_of(order_minhash.word_hashes(t.encode().split(), known)) for t in (a, b))
-    return bool(set(x.tolist()) & set(y.tolist()))
+    return bool(set(x[0].tolist()) & set(y[0].tolist()))
 
 
 def test_short_texts_within_the_budget_always_meet():
