@@ -485,6 +485,23 @@ def test_codec_round_trip(spark):
     assert piece_codec.encode(docs.limit(0), PIECES).count() == 0
 
 
+def test_long_texts_go_in_parts(monkeypatch):
+    v = piece_codec.Vocabulary.load(PIECES)
+    rng = random.Random(70)
+    texts = [" ".join(rng.choice(EN) for _ in range(900)) + "   end ", "x" * 3000 + " " + "abc" * 500, " " * 700, "", "é\u2581漢 " * 300]
+    keys = np.arange(len(texts))
+    whole = [piece_codec._encode_rows(v, [t], keys[i : i + 1], 3)[0].tolist() for i, t in enumerate(texts)]
+    ids, n = v.encode(texts, keys, 3)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == whole
+    monkeypatch.setattr(piece_codec, "CHUNK", 500)
+    for i, t in enumerate(texts):
+        ids, n, same = piece_codec._encode_rows(v, [t], keys[i : i + 1], 3)
+        assert ids.tolist() == whole[i] and same[0] and v.decode(ids) == t
+    monkeypatch.setattr(piece_codec, "LONGEST", 64)
+    ids, n, same = piece_codec._encode_rows(v, [texts[1]], keys[:1], 3)
+    assert same[0] and v.decode(ids) == texts[1]
+
+
 # -- quality ----------------------------------------------------------------------
 
 

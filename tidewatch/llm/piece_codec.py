@@ -2,8 +2,8 @@
 
 A text is a chain of segments, each a run of spaces with the characters up to the
 next space; no piece crosses such a boundary, so the piece lattice of a text
-factors into those of its segments.  Each distinct segment of a chunk gets its
-lattice once: forward filtering sums the weights of all segmentations up to every
+factors into those of its segments.  (A segment of over ``LONGEST`` characters counts
+as several.)  Each distinct segment of a chunk gets its lattice once: forward filtering sums the weights of all segmentations up to every
 place, and keeps for each place the cumulative probabilities of the pieces that
 can end there.  Backward sampling then draws one piece per occurrence and step,
 with uniforms that are a hash of the row key, the segment's number in the text and
@@ -25,12 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Stands for the mark itself where a text holds it; no character has this code.
 OTHER = 0x110000
-CHUNK = 2_000_000
+#: Characters that are encoded at once; a text longer than that goes in parts, so that memory follows this and not the text.
+CHUNK = 1 << 18
+#: A longer segment is cut, as no word of any language is.
+LONGEST = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEGMENT = re.compile(" +[^ ]*")
 
@@ -168,20 +173,19 @@ class Vocabulary:
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
+        return self.encode_segments([list(segments(t)) for t in texts], keys, np.zeros(len(texts), np.int64), seed)
+
+    def encode_segments(self, parts: list[list[str]], keys: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each); a part is the segments of a text from number ``first`` on."""
         index: dict[str, int] = {}
-        which, per = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                s = " " + t
-                parts = t.split(" ") if "  " not in s and s[-1] != " " else [x[1:] for x in _SEGMENT.findall(s)]
-                which.append(np.fromiter((index.setdefault(x, len(index)) for x in parts), np.int64, len(parts)))
-                per[i] = len(parts)
+        which = [np.fromiter((index.setdefault(x, len(index)) for x in part), np.int64, len(part)) for part in parts]
+        per = np.fromiter(map(len, parts), np.int64, len(parts))
         if not index:
             return np.zeros(0, np.int32), per
-        last, ptr, cum, prev, tok, table_len, table = self._lattices([" " + x for x in index])
+        last, ptr, cum, prev, tok, table_len, table = self._lattices(list(index))
         occ = np.concatenate(which)
-        number = _spread(np.zeros(len(texts), np.int64), per)
-        salt = _mix(_mix(keys.astype(np.uint64) + np.uint64(seed) * _BASE).repeat(per) + number.astype(np.uint64) * _BASE)
+        number = _spread(first, per)
+        salt = _mix(_mix(keys.astype(np.uint64) + np.uint64(seed * int(_BASE) % 2**64)).repeat(per) + number.astype(np.uint64) * _BASE)
         at, live, drawn = last[occ], np.arange(len(occ)), []
         step = 0
         while len(live):
@@ -222,15 +226,58 @@ class Vocabulary:
         return self.decode_bytes(np.asarray(ids, np.int64))[1:].decode("utf-8", "replace")
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def segments(text: str) -> Iterator[str]:
+    """The segments of a text with a space before it; none of an empty one."""
+    if not text:
+        return
+    for found in _SEGMENT.finditer(" " + text):
+        s = found.group()
+        for k in range(0, len(s), LONGEST):
+            yield s[k : k + LONGEST]
+
+
+def _parts(text: str) -> Iterator[list[str]]:
+    """The segments of a text in lists of about CHUNK characters."""
+    part, n = [], 0
+    for s in segments(text):
+        part.append(s)
+        n += len(s)
+        if n >= CHUNK:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _encode_rows(v: Vocabulary, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, number of ids of each, whether each decodes to itself)."""
+    if len(texts) == 1:
+        found, same, number = [], True, 0
+        for part in _parts(texts[0]):
+            ids, _ = v.encode_segments([part], keys, np.array([number]), seed)
+            same &= v.decode_bytes(ids) == "".join(part).encode()
+            found.append(ids)
+            number += len(part)
+        ids = np.concatenate(found or [np.zeros(0, np.int32)])
+        return ids, np.array([len(ids)]), np.array([same])
+    ids, n = v.encode(texts, keys, seed)
+    same = np.ones(len(texts), bool)
+    if v.decode_bytes(ids) != "".join(" " + t for t in texts if t).encode():
+        ends = np.cumsum(n)
+        same = np.array([v.decode(ids[e - k : e]) == t for e, k, t in zip(ends, n, texts, strict=True)])
+    return ids, n, same
+
+
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of rows that have at most CHUNK characters together; a longer row is alone."""
     lo, n = 0, 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > CHUNK:
+    for i, size in enumerate(lengths):
+        if i > lo and n + size > CHUNK:
             yield lo, i
             lo, n = i, 0
-        n += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        n += size
+    if lo < len(lengths):
+        yield lo, len(lengths)
 
 
 def encode(docs: DataFrame, path: str, *, seed: int = 0, alpha: float = 1.0) -> DataFrame:
@@ -240,30 +287,26 @@ def encode(docs: DataFrame, path: str, *, seed: int = 0, alpha: float = 1.0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            keys = np.array([k or 0 for k in ids_of.to_pylist()], np.int64)
-            for lo, hi in _chunks(texts):
-                part = texts[lo:hi]
-                ids, n = v.encode(part, keys[lo:hi], seed)
-                back = v.decode_bytes(ids)
-                same = np.ones(len(part), bool)
-                if back != "".join(" " + t for t in part if t).encode():
-                    ends = np.cumsum(n)
-                    same = np.array([v.decode(ids[e - k : e]) == t for e, k, t in zip(ends, n, part, strict=True)])
+            for lo, hi in _slices(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+                rows = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                keys = np.array([k or 0 for k in rows.column(0).to_pylist()], np.int64)
+                ids, n, same = _encode_rows(v, texts, keys, seed)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, hi - lo), pa.array(n, pa.int64()), lists, pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), lists, pa.array(same)], ["doc_id", "n_pieces", "piece_ids", "lossless"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, lossless boolean")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """doc_id and ``text`` from doc_id and piece_ids."""
+    """doc_id and ``text`` from doc_id and piece_ids; null ids are no ids."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [vocabulary.value.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            ends, ids = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [vocabulary.value.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "piece_ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", F.coalesce("piece_ids", F.array().cast("array<int>")).alias("piece_ids")).mapInArrow(run, "doc_id long, text string")
