@@ -72,7 +72,7 @@ def digest_of(found):
 
 def test_secret_base_spans(spark):
     texts = SECRETS + AWKWARD
-    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(frame(spark, texts), {})).collect()}
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(secret_scan.searched(frame(spark, texts)), {})).collect()}
     for i, t in enumerate(texts):
         want = brute_secrets(t)
         assert [got[i][f"n_{k}"] for k in want] == [len(x) for x in want.values()], t
@@ -110,7 +110,7 @@ def test_random_tokens_are_added(spark):
     letters = secret_scan.ENCODINGS[-1][2]
     secret = lambda: "".join(rng.choice(letters) for _ in range(40))
     texts = [f"value {secret()} here" for _ in range(60)] + ["path docs/guide/Chapter1/introduction/overview/Page2 text"] * 20
-    docs = frame(spark, texts)
+    docs = secret_scan.searched(frame(spark, texts))
     rows = secret_scan.digest(secret_scan.scan(docs, secret_scan.cuts(docs))).orderBy("doc_id").collect()
     found = [r["n_random"] for r in rows]
     assert sum(found[:60]) >= 55 and sum(found[60:]) == 0
@@ -140,7 +140,7 @@ def brute_pii(text):
 def test_pii_base_spans(spark):
     rng = random.Random(11)
     texts = PII + AWKWARD + ["".join(rng.choice("1234 .-+@ab_(") for _ in range(80)) for _ in range(120)]
-    docs = frame(spark, texts)
+    docs = pii.searched(frame(spark, texts))
     got = {r["doc_id"]: r for r in pii.digest(pii.find(docs, pii.learn(docs))).collect()}
     for i, t in enumerate(texts):
         want = brute_pii(t)
@@ -161,10 +161,11 @@ def test_pii_em_ranks_labelers():
 
 def test_pii_redacts(spark):
     docs = frame(spark, [PII[0], "no data", None, "ring +1 (743) 555-3824 now", "phone: 4012 8888 8888 1881"])
-    rows = {r["doc_id"]: r for r in pii.redact(docs, None).collect()}
+    clean = pii.redacted(pii.find(pii.searched(docs, docs.columns), None))
+    rows = {r["doc_id"]: r for r in clean.collect()}
     assert rows[3]["text"] == "ring [PHONE] now" and rows[1]["text"] == "no data" and rows[2]["text"] is None
     assert rows[4]["text"] == "phone: [CARD]" and rows[0]["text"].startswith("mail [EMAIL][EMAIL], a@b")
-    assert docs.columns == pii.redact(docs, None).columns
+    assert docs.columns == clean.columns
 
 
 def test_span_positions_are_code_points(spark):
@@ -173,6 +174,42 @@ def test_span_positions_are_code_points(spark):
     assert [(x["s"], x["e"]) for x in got] == [(2, 4), (5, 7)]
 
 
+def test_running_values_and_sweeps_go_by_blocks(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, n in enumerate([0, 1, 5, 255, 256, 257, 700]):
+        cuts = sorted(rng.sample(range(4 * n + 10), 2 * n))
+        own = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        others = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(4 * n + 10) for _ in range(n // 3))]
+        rows.append((i, own, others, "".join(rng.choice("aé\U0001f600") for _ in range(4 * n + 10))))
+    df = spark.createDataFrame(rows, "i int, own array<struct<s:int,e:int>>, others array<struct<s:int,e:int>>, t string")
+    tag = spans.tagged(F.concat("own", "others"), 0, "x")
+    got = df.select("i", spans.running(F.transform("own", lambda x: x["s"]), spans.total, 0).alias("run"), spans.apart_from(F.col("own"), F.col("others")).alias("apart"), spans.replaced(F.col("t"), tag).alias("clean")).orderBy("i").collect()
+    for (_, own, others, text), r in zip(rows, got, strict=True):
+        assert r["run"] == [sum(a for a, _ in own[: k + 1]) for k in range(len(own))]
+        assert [tuple(x) for x in r["apart"]] == [(a, b) for a, b in own if not any(a < d and c < b for c, d in others)]
+        out, at = "", 0
+        for a, b in sorted(own + others):
+            if a >= at:
+                out += text[at:a] + "[X]"
+            at = max(at, b)
+        assert r["clean"] == out + text[at:]
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    texts = ["x" * 2_000_000, "1 " * 1_000_000, "a@b.co " * 200_000, "f" * 1_000_000 + " " + "Dr Aa " * 100_000, "+1 (" * 300_000, "token=abcdef " * 150_000, ("a" * 30 + "1 ") * 30_000]
+    docs = frame(spark, texts)
+    began = time.time()
+    found = pii.searched(docs, docs.columns)
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(pii.find(found, None)).collect()}
+    assert clean[2] == "[EMAIL] " * 200_000 and clean[0] == texts[0]
+    rows = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(secret_scan.searched(docs), {20: 0.001})).collect()}
+    assert rows[5]["n_assign"] == 150_000 and rows[3]["n_hex"] == 1
+    assert time.time() - began < 150
+
+
 # -- language ---------------------------------------------------------------------
 
 

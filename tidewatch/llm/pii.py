@@ -6,8 +6,12 @@ on by four labelers: regex shape, gazetteer cues in the words before, context of
 the neighbouring characters, and the check digit.  Each votes yes, no or abstains.
 The counts of the vote patterns over all texts are a small table (at most 81
 patterns times the feature classes); expectation-maximisation on it estimates the
-reliability of each labeler and the posterior of each pattern, and a logistic
-regression of those posteriors on votes and shape features is the span classifier.
+reliability of each labeler where it doesn't abstain and the posterior of each pattern,
+and a logistic regression of those posteriors on votes and shape features is the span
+classifier.  The spans it adds are of the kinds ``number``, ``address`` and ``name``.
+
+The texts are searched once (:func:`searched`); learning and judging read what was found.
+Patterns and span lists take time in proportion to a text and its matches.
 
 Edge cases: a null text is the empty string.  Rows are judged one by one, so
 repeated rows, repeated ids and extra columns change nothing; an empty table, or
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import apart_from, find_spans, joined, tagged
+from .spans import find_spans, joined, let, replaced, tagged, touching
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Atomic forms of them that find the same matches in linear time.
@@ -33,14 +37,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Looser shapes that are only candidates.
-NUMBER = r"(?<![A-Za-z0-9+/_=.-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![A-Za-z0-9_])"
-SPELLED = r"[A-Za-z0-9._%+-]++\x20?[(\[{](?:at|AT)[)\]}]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{](?:dot|DOT)[)\]}]\x20?)[A-Za-z0-9-]++)++"
+NUMBER = r"(?<![A-Za-z0-9+/_=.-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+"
+SPELLED = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[(\[{](?:at|AT)[)\]}]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{](?:dot|DOT)[)\]}]\x20?)[A-Za-z0-9-]++)++"
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame")
 TITLED = rf"\b(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?"
 # Gazetteers of cue words before a span.
 CUES_YES = ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "contact", "email", "mail", "ssn", "card", "visa", "account", "iban", "passport", "telefon", "handy", "kontakt", "téléphone", "teléfono", "móvil")
 CUES_NO = ("version", "isbn", "issn", "order", "issue", "page", "figure", "section", "article", "release", "build", "commit", "revision", "chapter", "seite", "número", "página")
 LABELERS = ("regex", "gazetteer", "context", "digits")
+#: Kinds of the spans that the classifier adds, by shape.
+ADDED = ("number", "address", "name")
 ABSTAIN, NO, YES = 0, 1, 2
 
 
@@ -73,16 +79,16 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Candidate spans that touch no base span of another extent, with their votes and shape features."""
+    """Candidate spans with their votes, shape features, and whether they touch a base span."""
     found = find_spans(text, f"{SPELLED}|{TITLED}|{NUMBER}", text.rlike(rf"[0-9][\x20()./-]{{0,2}}[0-9][\x20()./-]{{0,2}}[0-9]|[(\[{{](?:at|AT)[)\]}}]|(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}"))
+    found = F.filter(found, lambda x: x["m"].rlike(r"^\p{Lu}|[(\[{](?:at|AT)") | ~x["after"].rlike("^[A-Za-z0-9_]"))
     words = lambda names: "|".join(names)
 
-    def one(x: Column) -> Column:
+    def one(x: Column, hit: Column) -> Column:
         m, d = x["m"], _digits(x["m"])
         near = F.lower(F.right(x["before"], F.lit(40)))
         left, right = F.right(x["before"], F.lit(1)), F.substring(x["after"], 1, 1)
         shape = F.when(m.rlike(r"[(\[{](?:at|AT)"), F.lit(1)).when(m.rlike(r"^\p{Lu}"), F.lit(2)).otherwise(F.lit(0))
-        hit = F.exists(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
         strict = m.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$") | m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
         dull = m.rlike(r"^(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}") | m.rlike(r"^[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}") | d.rlike(r"^([0-9])\1*$")
         n = F.length(d)
@@ -95,10 +101,10 @@ def _candidates(text: Column, base: Column) -> Column:
         width = F.when(shape != 0, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 20, 4).otherwise(5)
         parts = F.when(shape != 0, 0).when(m.rlike("[^0-9]"), 1).otherwise(0)
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), *[v.cast("int").alias(k) for k, v in votes.items()], shape.cast("int").alias("shape"), width.cast("int").alias("width"), parts.cast("int").alias("parts")
+            x["s"].alias("s"), x["e"].alias("e"), hit.alias("hit"), *[v.cast("int").alias(k) for k, v in votes.items()], shape.cast("int").alias("shape"), width.cast("int").alias("width"), parts.cast("int").alias("parts")
         )
 
-    return F.transform(found, one)
+    return let(found, lambda xs: F.transform(F.arrays_zip(xs.alias("x"), touching(xs, base).alias("hit")), lambda r: one(r["x"], r["hit"])))
 
 
 FEATURES = {**dict.fromkeys(LABELERS, 3), "shape": 3, "width": 6, "parts": 2}
@@ -106,7 +112,7 @@ FEATURES = {**dict.fromkeys(LABELERS, 3), "shape": 3, "width": 6, "parts": 2}
 
 @dataclass
 class Classifier:
-    """Log-odds by feature value; ``reliability`` has P(vote | class) of each labeler."""
+    """Log-odds by feature value; ``reliability`` has P(vote | class) of each labeler among its votes."""
 
     intercept: float
     weights: dict[str, list[float]]
@@ -114,7 +120,10 @@ class Classifier:
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, list[list[list[float]]]]:
-    """Posterior of each vote pattern and P(vote | class) of each labeler, by expectation-maximisation."""
+    """Posterior of each vote pattern and P(vote | class) of each labeler among its votes, by expectation-maximisation.
+
+    An abstention says nothing in either step.
+    """
     yes, no = (votes == YES).sum(1), (votes == NO).sum(1)
     q = (yes + 0.5) / (yes + no + 1.0)
     q = 0.1 + 0.8 * q
@@ -124,20 +133,28 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[n
         prior = ((q * n).sum() + 1) / (n.sum() + 2)
         log = np.full(len(q), math.log(prior / (1 - prior)))
         for j in range(votes.shape[1]):
-            p = np.array([[(n * w * (votes[:, j] == v)).sum() + 1 for v in range(3)] for w in (1 - q, q)])
+            p = np.array([[0.0] + [(n * w * (votes[:, j] == v)).sum() + 1 for v in (NO, YES)] for w in (1 - q, q)])
             p /= p.sum(1, keepdims=True)
             table.append(p.tolist())
-            spoke = votes[:, j] != ABSTAIN  # an abstention says nothing
-            log += np.where(spoke, np.log(p[1, votes[:, j]] / p[0, votes[:, j]]), 0)
+            spoke = votes[:, j] != ABSTAIN
+            said = np.where(spoke, votes[:, j], YES)
+            log += np.where(spoke, np.log(p[1, said] / p[0, said]), 0)
         q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
     return q, table
 
 
-def learn(docs: DataFrame, rounds: int = 3000, decay: float = 1e-3) -> Classifier | None:
-    """The span classifier from all texts of ``docs``; None if there is no candidate."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("text")).select("text", F.concat(*base_spans(F.col("text")).values()).alias("base"))
-    table = rows.select(F.explode(_candidates(F.col("text"), F.col("base"))).alias("x")).groupBy(*[F.col(f"x.{k}").alias(k) for k in FEATURES]).count().collect()
+def searched(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (doc_id) with the ``base`` spans by kind and the candidates, ``maybe``, of each row's text."""
+    keep = keep or ["doc_id"]
+    rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("base", F.struct(*[F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k, c in base_spans(F.col("text")).items()]))
+    rows = rows.withColumn("maybe", _candidates(F.col("text"), F.concat(*[F.col(f"base.{k}") for k in KINDS])))
+    return rows.select(F.struct(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)]).alias("row"), "base", "maybe")
+
+
+def learn(found: DataFrame, rounds: int = 3000, decay: float = 1e-3) -> Classifier | None:
+    """The span classifier from the candidates of all rows of :func:`searched`; None if there is none."""
+    table = found.select(F.explode("maybe").alias("x")).groupBy(*[F.col(f"x.{k}").alias(k) for k in FEATURES]).count().collect()
     if not table:
         return None
     table.sort(key=tuple)
@@ -158,58 +175,37 @@ def learn(docs: DataFrame, rounds: int = 3000, decay: float = 1e-3) -> Classifie
     return Classifier(round(float(b), 6), weights, dict(zip(LABELERS, reliability, strict=True)))
 
 
-def find(docs: DataFrame, model: Classifier | None, least: float = 0.9, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id) with arrays of base spans by kind and ``pii``, what the classifier adds at ``least``."""
-    keep = keep or ["doc_id"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    other = [k for k in keep if k != "text"]
-    rows = docs.select(*other, text.alias("text")).select(*other, "text", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]).alias("found"))
-    spans = {k: F.col(f"found.{k}") for k in KINDS}
-    if model is None:
-        more = F.array().cast("array<struct<s:int,e:int>>")
-    else:
-        base = F.concat(*spans.values())
-
-        def good(x: Column) -> Column:
-            odds = F.lit(model.intercept)
-            for k, w in model.weights.items():
-                odds = odds + F.element_at(F.array(*[F.lit(v) for v in w]), x[k] + 1)
-            return odds >= math.log(least / (1 - least))
-
-        kept = F.filter(_candidates(F.col("text"), base), good)
-        more = F.transform(apart_from(kept, base), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return rows.select(*keep, *[c.alias(k) for k, c in spans.items()], more.alias("pii"))
+def find(found: DataFrame, model: Classifier | None, least: float = 0.9) -> DataFrame:
+    """``row``, arrays of base spans by kind, and ``pii``: what the classifier adds at ``least``, of the ADDED kinds."""
+
+    def good(x: Column) -> Column:
+        odds = F.lit(model.intercept)
+        for k, w in model.weights.items():
+            odds = odds + F.element_at(F.array(*[F.lit(v) for v in w]), x[k] + 1)
+        return ~x["hit"] & (odds >= math.log(least / (1 - least)))
+
+    more = F.filter("maybe", good if model else lambda x: F.lit(False))
+    named = F.array(*[F.lit(k) for k in ADDED])
+    more = F.transform(more, lambda x: F.struct(x["s"].alias("s"), (x["shape"] + len(KINDS)).alias("o"), x["e"].alias("e"), F.element_at(named, x["shape"] + 1).alias("k")))
+    return found.select("row", *[F.col(f"base.{k}").alias(k) for k in KINDS], more.alias("pii"))
 
 
 def _tagged_base() -> Column:
     return F.concat(*[tagged(F.col(k), i, k) for i, k in enumerate(KINDS)])
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(spans: DataFrame) -> DataFrame:
     """The columns of the contract from :func:`find`'s."""
-    rows = found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _tagged_base().alias("base"), tagged(F.col("pii"), len(KINDS), "pii").alias("more"))
+    rows = spans.select("row.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], _tagged_base().alias("base"), F.col("pii").alias("more"))
     return rows.select(
         "doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_pii")
     )
 
 
-def redact(docs: DataFrame, model: Classifier | None, least: float = 0.9) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in brackets; where spans overlap, the first names it.
+def redacted(spans: DataFrame) -> DataFrame:
+    """The kept columns of :func:`searched`, ``text`` among them, with each span in the text replaced by its kind in brackets.
 
-    A null text stays null.
+    Where spans overlap, the first names them.  A null text stays null.
     """
-    order = docs.columns
-    found = find(docs.withColumn("was_null", F.col("text").isNull()), model, least, [*order, "was_null"])
-    spans = F.array_sort(F.concat(_tagged_base(), tagged(F.col("pii"), len(KINDS), "pii")))
-    rows = found.select(*order, "was_null", spans.alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(x["k"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("was_null"), F.lit(None).cast("string")).when(F.size("spans") == 0, F.col("text")).otherwise(clean)
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in order])
+    clean = replaced(F.col("row.text"), F.concat(_tagged_base(), "pii"))
+    return spans.select(*[clean.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in spans.schema["row"].dataType.names])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, lm_score, order_minhash, piece_codec, pii, quality, secret_scan, url_filter
-from .common import hash_share, table
+from .common import hash_share, stored, table
 
 #: A SentencePiece model with byte fallback.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,8 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return secret_scan.digest(secret_scan.scan(docs, secret_scan.cuts(docs)))
+    found = stored(secret_scan.searched(table(spark, sf_dir, "documents")), "secrets")
+    return secret_scan.digest(secret_scan.scan(found, secret_scan.cuts(found)))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pii.digest(pii.find(docs, pii.learn(docs)))
+    found = stored(pii.searched(table(spark, sf_dir, "documents")), "pii")
+    return pii.digest(pii.find(found, pii.learn(found)))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

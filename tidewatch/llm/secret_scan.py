@@ -10,6 +10,9 @@ p-values while structured ones crowd at 0, so counts of all tokens by length
 class and p-value give the false-discovery rate of each cut; every length class
 gets the widest cut that holds the rate.
 
+The texts are searched once (:func:`searched`); cuts and spans come from what was
+found.  Patterns and span lists take time in proportion to a text and its matches.
+
 Edge cases: a null text is the empty string, with no spans and the digest of the
 empty string.  Rows are judged one by one (repeated rows, repeated ids and extra
 columns change nothing); an empty table gives an empty result.
@@ -91,19 +94,26 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def _tokens(text: Column) -> Column:
     found = find_spans(text, TOKEN, text.rlike(r"[A-Za-z0-9+/_-]{20}"))
-    mixed = F.filter(found, lambda x: x["m"].rlike("[A-Za-z]") & (x["m"].rlike("[0-9]") | x["m"].rlike("[a-z].*[A-Z]")))
+    mixed = F.filter(found, lambda x: x["m"].rlike("[A-Za-z]") & (x["m"].rlike("[0-9]") | x["m"].rlike("^[^a-z]*+[a-z][^A-Z]*+[A-Z]")))
     return F.transform(mixed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _class(F.length(x["m"])).alias("c"), randomness(x["m"]).alias("p")))
 
 
-def cuts(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
-    """The cut of each length class at false-discovery rate ``rate``, from the counts of all tokens.
+def searched(docs: DataFrame) -> DataFrame:
+    """doc_id, the arrays of base spans by kind, and ``tokens`` with their length class and p-value, of each row's text."""
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    place = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
+    return out.select("doc_id", *[F.transform(c, place).alias(k) for k, c in base_spans(F.col("text")).items()], _tokens(F.col("text")).alias("tokens"))
+
+
+def cuts(found: DataFrame, rate: float = 0.05) -> dict[int, float]:
+    """The cut of each length class at false-discovery rate ``rate``, from the counts of all tokens of :func:`searched`.
 
     Twice the tokens with p >= 0.5 estimates the random ones; what a cut admits beyond them is false.
     """
     step = F.lit(0.0)
     for cut in CUTS:
         step = F.when(F.col("x.p") >= cut, F.lit(cut)).otherwise(step)
-    rows = docs.select(F.explode(_tokens(F.coalesce("text", F.lit("")))).alias("x")).groupBy(F.col("x.c").alias("c"), step.alias("cut")).count().collect()
+    rows = found.select(F.explode("tokens").alias("x")).groupBy(F.col("x.c").alias("c"), step.alias("cut")).count().collect()
     out: dict[int, float] = {}
     for c in {r["c"] for r in rows}:
         above = lambda t: sum(r["count"] for r in rows if r["c"] == c and r["cut"] >= t)  # noqa: E731, B023
@@ -115,11 +125,8 @@ def cuts(docs: DataFrame, rate: float = 0.05) -> dict[int, float]:
     return out
 
 
-def scan(docs: DataFrame, limits: dict[int, float]) -> DataFrame:
-    """doc_id, the arrays of base spans by kind, and ``random``, the spans that the battery adds."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kinds = base_spans(F.col("text"))
-    out = docs.select("doc_id", text.alias("text")).select("doc_id", *[c.alias(k) for k, c in kinds.items()], _tokens(F.col("text")).alias("tokens"))
+def scan(found: DataFrame, limits: dict[int, float]) -> DataFrame:
+    """The columns of :func:`searched` with ``random``, the spans that the battery adds, in place of the tokens."""
     limit = F.lit(2.0)
     ok = lambda x: F.lit(False)
     if limits:
@@ -131,7 +138,7 @@ def scan(docs: DataFrame, limits: dict[int, float]) -> DataFrame:
             return x["p"] >= cut
 
     random = apart_from(F.filter("tokens", ok), F.concat("assign", "access", "hex"))
-    return out.select("doc_id", *kinds, random.alias("random"))
+    return found.select("doc_id", "assign", "access", "hex", random.alias("random"))
 
 
 def digest(found: DataFrame) -> DataFrame:
