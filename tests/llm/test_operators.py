@@ -375,7 +375,7 @@ def test_finer_keys_leave_the_crowd():
     rng = random.Random(61)
     vocabulary = ["w%d" % i for i in range(3000)]
     passage = words(rng, vocabulary, 300).split()
-    hashes = [order_minhash.word_hashes([w.encode() for w in [*passage, *words(rng, vocabulary, 200).split()]], {}) for _ in range(2)]
+    hashes = [order_minhash.word_hashes([w.encode() for w in [*passage, *words(rng, vocabulary, 200).split()]], order_minhash.Hashes()) for _ in range(2)]
     crowded = np.intersect1d(*[order_minhash.keys_of(h)[0] for h in hashes])
     assert len(crowded) > 10
     fresh = [order_minhash.finer(h, crowded, crowded)[0] for h in hashes]
@@ -413,7 +413,7 @@ def test_buckets_find_what_all_pairs_find():
 
 
 def meet(a, b):
-    known = {}
+    known = order_minhash.Hashes()
     x, y = (order_minhash.keys_of(order_minhash.word_hashes(t.encode().split(), known)) for t in (a, b))
     return bool(set(x[0].tolist()) & set(y[0].tolist()))
 
