@@ -287,6 +287,21 @@ def test_language_query(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_letters_of_all_planes_and_long_texts(monkeypatch):
+    texts = {"xx": ["\U00020000\U00020001 \U0001d400"] * 4, "en": [words(random.Random(k), EN, 30) for k in range(6)]}
+    model = langid.kneser_ney({lang: tuple(np.unique(langid._grams(s, 4)[langid._scored(s, at)], return_counts=True)) for lang, t in texts.items() for s, at in [langid._symbols(t)]})
+    model.mean, model.bounds = np.zeros(2), np.full((2, len(langid.CLASSES) + 1), np.inf)
+    got = langid.judge(model, ["\U00020000\U00020001", "\U0001f600 12", "the winter house"])
+    assert got["lang_pred"].tolist() == ["xx", "und", "en"]
+    rng = random.Random(71)
+    long = ["", words(rng, EN, 40) + " 12 .. " * 9 + words(rng, EN, 30), "the", "a" + " " * 90 + "b", words(rng, DE, 60)]
+    want = langid.cross_entropies(model, long)
+    for chunk in (7, 10, 64):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        found = langid.cross_entropies(model, long)
+        assert found[1].tolist() == want[1].tolist() and found[0] == pytest.approx(want[0], rel=1e-5)
+
+
 def test_a_mislabelled_row_doesnt_switch_rejection_off(spark):
     rng = random.Random(21)
     es = ["el", "invierno", "casa", "debajo", "viejos", "árboles", "mientras", "niños", "caminan", "largo", "río", "con", "pan", "del", "mercado", "hacia"]
@@ -612,8 +627,9 @@ def test_myers_search():
 
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(15)
-    items = [words(rng, EN, 14) for _ in range(6)] + [None, "", "short", "short"]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    items = [words(rng, EN, 14) for _ in range(6)] + [None, "", "A", "a", "vt ff"]
+    ids = [*range(len(items) - 1), None]
+    bench = spark.createDataFrame([*zip(ids, items, strict=True), (2, items[3]), (None, None)], "item_id long, text string")
 
     def spoil(t, k):
         s = list(t)
@@ -627,9 +643,10 @@ def test_decontamination_against_brute_force(spark):
         s = decontam.normalised(t or "")
         want[i] = []
         for j, item in enumerate(items):
-            m = decontam.normalised(item or "")
-            if len(m) >= 30 and (d := brute_search(m, s)) <= int(0.06 * len(m)):
-                want[i].append((j, d))
+            for m in {decontam.normalised(item or ""), items[3] if j == 2 else ""}:
+                if len(m) >= 30 and (d := brute_search(m, s)) <= int(0.06 * len(m)) or 0 < len(m) < 30 and re.search(rf"(?<![^\W_]){re.escape(m)}(?![^\W_])", s) and not (d := 0):
+                    want[i].append((ids[j], d))
+        want[i] = sorted({k: min(d for x, d in want[i] if x == k) for k, _ in want[i]}.items(), key=lambda x: (x[0] is not None, x[0] or 0))
     assert any(d for x in want.values() for _, d in x)
     for size in (20_000_000, 150):
         got = decontam.find(frame(spark, texts), bench, block_chars=size).collect()
@@ -671,6 +688,13 @@ def test_url_rules(spark):
             assert got[i]["verdict"] == (verdict or ("block" if got[i]["score"] > 0.5 else "allow"))
     with pytest.raises(ValueError):
         url_filter.train(train, 2)
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://a.net/es/x").alias("url"))
+    assert url_filter.labelled(many, 100).collect() == [("a.net", "/es/x", True)]
+    some = url_filter.labelled(pages, 3).collect()
+    assert len(some) == 3 and some == url_filter.labelled(pages.union(pages).repartition(5), 3).collect()
+    assert url_filter.judge(pages.limit(0), url_filter.train(url_filter.labelled(pages.limit(0), 5), 5)).count() == 0
+    long = spark.createDataFrame([(1, "http://a.org/" + "xy" * 400_000)], "page_id long, url string")
+    assert url_filter.judge(long, url_filter.Model()).first()["verdict"] == "allow"
 
 
 def test_url_model_separates(spark):
@@ -686,47 +710,62 @@ def test_url_model_separates(spark):
 # -- LM ---------------------------------------------------------------------------
 
 
-def brute_lm(counted, text):
-    """Mean Witten-Bell loss of a text's symbols from plain counts."""
-    from collections import Counter
+def lm_words(text):
+    return re.findall(r"[^\W\u3040-\u30ff\u3400-\u9fff]+|\S", (text or "").lower())
 
-    def symbols(t):
-        out = [63, 63, 63]
-        for c in t.lower():
-            k = int(lm_score.symbol_table()[min(ord(c), 0xFFFF)])
-            if k or out[-1]:
-                out.append(k)
-        return out
 
-    c = [Counter() for _ in range(5)]
+def brute_lm(counted, everything, text):
+    """Mean Witten-Bell loss of a text's words from plain counts of the ``counted`` texts; the vocabulary is of ``everything``."""
+    from collections import Counter
+
+    vocabulary = {w for t in everything for w in lm_words(t)}
+    one, two = Counter(), Counter()
     for t in counted:
-        s = symbols(t)
-        for i in range(3, len(s)):
-            for o in range(1, 5):
-                c[o][tuple(s[i - o + 1 : i + 1])] += 1
+        s = lm_words(t)
+        one.update(s)
+        two.update(zip([None, *s], s))
+    flat = 1 / max(len(vocabulary), 1)
 
-    def p(g):
-        o = len(g)
-        below = p(g[1:]) if o > 1 else 1 / 64
-        kin = [n for k, n in c[o].items() if k[:-1] == g[:-1]]
-        return (c[o][g] + len(kin) * below) / (sum(kin) + len(kin)) if kin else below
+    def p(v, w):
+        low = (one[w] + len(one) * flat) / (sum(one.values()) + len(one)) if one else flat
+        kin = [n for (a, _), n in two.items() if a == v]
+        return (two[v, w] + len(kin) * low) / (sum(kin) + len(kin)) if kin else low
 
-    s = symbols(text)
-    return np.mean([-math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]) if len(s) > 3 else 0.0
+    s = lm_words(text)
+    return np.mean([-math.log(p(v, w)) for v, w in zip([None, *s], s)]) if s else 0.0
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("block", [6_000_000, 60])
+def test_lm_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
     rng = random.Random(17)
-    texts = [words(rng, EN, 15) for _ in range(4)] + [words(rng, DE, 15) for _ in range(4)] + [None, "", "!?  #9 é\U0001f600"]
+    texts = [words(rng, EN, 15) for _ in range(6)] + [words(rng, DE, 15) for _ in range(4)] + [None, "", " \n", "!?  #9 é\U0001f600 日本 ab_c"]
+    texts += [texts[0], texts[7]]
     docs = frame(spark, texts)
-    labels = spark.createDataFrame([(i, int(i < 4), 0) for i in range(8)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    models = lm_score.fit(lm_score.count(lm_score.marked(docs, labels)))
-    got = {r["doc_id"]: r for r in lm_score.score(docs, models).collect()}
+    labels = spark.createDataFrame([(i, int(i < 6), 0) for i in range(10)] + [(None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = lm_score.marked(docs, labels)
+    half = {r["doc_id"]: r["half"] for r in rows.collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(rows).collect()}
     for i, t in enumerate(texts):
-        want = brute_lm(texts[:4], t or ""), brute_lm([x for x in texts if x], t or "")
+        target = [texts[j] for j in range(6) if i >= 6 or half[j] != half[i]]
+        want = brute_lm(target, texts, t), brute_lm(texts, texts, t)
         assert (got[i]["target_ce"], got[i]["background_ce"]) == pytest.approx(want, abs=2e-5), t
-    assert all(got[i]["ce_diff"] < 0 for i in range(4)) and all(got[i]["ce_diff"] > 0 for i in range(4, 8))
-    assert lm_score.score(docs.limit(0), models).count() == 0
+        assert got[i]["n_tokens"] == len(lm_words(t))
+    again = {r["doc_id"]: r for r in lm_score.score(rows, lm_score.count(rows)).collect()}
+    assert got == again and len(got) == len(texts)
+    other = lm_score.score(lm_score.marked(spark.createDataFrame([(None, "the qqq"), (2**60 + 1, "the qqq")], "doc_id long, text string"), labels), lm_score.count(rows)).collect()
+    assert {r["doc_id"] for r in other} == {None, 2**60 + 1} and other[0]["target_ce"] == other[1]["target_ce"] > 0
+    assert lm_score.score(lm_score.marked(docs.limit(0), labels.limit(0))).count() == 0
+    uniform = {r["doc_id"]: r["target_ce"] for r in lm_score.score(lm_score.marked(docs, labels.limit(0))).collect()}
+    assert uniform[0] == pytest.approx(math.log(len({w for t in texts for w in lm_words(t)})), abs=1e-5)
+
+
+def test_long_texts_are_cut_at_white_space():
+    text = "ab cd " * 50 + "x" * 400 + " y" * 30
+    assert "".join(lm_score.parts(text, 64)) == text and len(list(lm_score.parts(text, 64))) > 4
+    known = lm_score.Words()
+    want = lm_score.bigrams(text, known)
+    assert len(want) == len(lm_words(text)) and lm_score.parts("", 5).__next__() == ""
 
 
 def test_every_query_is_registered():

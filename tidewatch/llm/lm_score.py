@@ -1,199 +1,201 @@
-"""Cross-entropy difference of a target and a background character model.
-
-Both models count the 4-grams of one vocabulary of 64 symbol classes, with
-Witten-Bell interpolation down to the uniform distribution.  The background
-counts every document, the target those labelled good.  Every symbol of a text
-has a loss under both; the mean losses and their difference score the text (below
-0: more like the target).
-
-Counting emits each distinct 4-gram of a task once, so that the shuffle follows
-the number of tasks and 4-grams; the summed table has at most 64 ** 4 rows at any
-size of the corpus, and some 10 ** 5 in practice.
-
-Edge cases: a null or empty text has no symbol and scores 0.  Rows are judged one
-by one, so repeated rows, ids and extra columns change nothing (a repeated row
-counts again in the models); labels with a null id or quality are passed over, of
-several labels of one id the lowest counts.  Without a target row the target
-model is uniform.  An empty table gives an empty result.
+"""Cross-entropy difference of a target and a background word model.
+
+Both are bigram models over one vocabulary, all words of all documents (lower-cased
+runs of letters and digits, single ideographs and marks, as 32-bit hashes), with
+Witten-Bell interpolation to unigrams and on to the uniform distribution.  The
+background counts every document, the target those labelled good.  Every word of a
+text has a loss under both; the mean losses and their difference score the text
+(below 0: more like the target).  A target row is scored by the target rows of the
+other half, by a hash of its text, so that it isn't judged by its own counts (nor by
+its copies').
+
+The tables grow with the corpus and are never collected or broadcast.  The texts are
+read once, in blocks of about ``BLOCK`` characters: each gives its distinct bigrams with
+counts, and each of its documents as places in that list.  The blocks' bigrams are
+summed by key, get their losses by joins with the sums of their first and second words
+(frequent ones dealt over ``SALTS`` tasks), and go back to their blocks, where the
+documents add them up.  So a shuffle carries a block's distinct bigrams and no text, and
+a task holds a block.
+
+Edge cases: a null or empty text, or one of white space, has no word and scores 0.  A
+repeated row counts again in the models and is scored again; labels with a null id or
+quality are passed over, of several labels of one id the lowest counts.  Without a
+target row the target models are uniform.  Extra columns change nothing; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyspark
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = 64
-PAD = 63
-CHUNK = 2_000_000
-#: Labels up to this many are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-_TABLE: np.ndarray | None = None
-
-
-def symbol_table() -> np.ndarray:
-    """The class of each code point up to 0xFFFF, by rule; larger ones share the last one's class."""
-    global _TABLE
-    if _TABLE is None:
-        out = np.full(0x10000, 62, np.uint8)
-        for c in range(0x10000):
-            ch = chr(c)
-            if ch.isspace() or c == 0:
-                out[c] = 0
-            elif "a" <= ch <= "z":
-                out[c] = 1 + c - ord("a")
-            elif ch.isdigit():
-                out[c] = 27
-            elif 0xDF <= c <= 0xFF:
-                out[c] = 28 + (c - 0xDF) % 24
-            elif ch.isalpha():
-                out[c] = 52 + c % 4
-        for k, marks in enumerate((".", ",", "!?", "\"'()[]{}", "#*$%&|<>", "-_/:;+=@~^\\`")):
-            for ch in marks:
-                out[ord(ch)] = 56 + k
-        _TABLE = out
-    return _TABLE
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(the 4-gram that ends at each symbol, as a number below 64 ** 4; the start of each text), runs of white space as one.
-
-    Three pads go before each text; at each start there is a dummy entry so that no text is without one.
-    """
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer(("\0\0\0" + "\0\0\0".join(low)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lens = np.fromiter(map(len, low), np.int64, len(low))
-    starts = np.concatenate([[0], np.cumsum(lens + 3)[:-1]])
-    s = symbol_table()[np.minimum(codes, 0xFFFF)]
-    for k in range(3):
-        s[starts + k] = PAD
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    at = (np.cumsum(keep) - 1)[starts]
-    s = s[keep].astype(np.uint32)
-    out = s.copy()
-    for k in range(1, 4):
-        out[k:] |= s[:-k] << np.uint32(6 * k)
-    live = np.ones(len(s), bool)
-    for k in range(1, 3):
-        live[at + k] = False  # of the three pads one entry stays, as the text's dummy
-    return out[live], at - 2 * np.arange(len(at))
-
-
-def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """(indices, texts) of at most CHUNK characters together; a longer text comes in parts."""
-    at, part, n = [], [], 0
-    for i, t in enumerate(texts):
-        for k in range(0, max(len(t), 1), CHUNK):
-            s = t[k : k + CHUNK]
-            if part and n + len(s) > CHUNK:
-                yield at, part
-                at, part, n = [], [], 0
-            at.append(i)
-            part.append(s)
-            n += len(s)
-    if part:
-        yield at, part
-
-
-def _merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for pdf in batches:
-        for target, group in pdf.groupby("target"):
-            found = sums.setdefault(bool(target), [])
-            for _, part in _parts(group["text"].tolist()):
-                g, starts = grams(part)
-                live = np.ones(len(g), bool)
-                live[starts] = False
-                found.append(np.unique(g[live], return_counts=True))
-            if len(found) > 16:
-                found[:] = [_merge(found)]
-    for target, found in sums.items():
-        keys, n = _merge(found)
-        yield pd.DataFrame({"gram": keys.astype(np.int32), "target": n if target else 0, "n": n})
+from .common import stored
+
+BLOCK = 6_000_000
+SALTS = 32
+#: The word before the first one; no hash has this value.
+START = 0
+_WORD = re.compile(r"[^\W぀-ヿ㐀-鿿]+|[^\s]")
+#: Count columns: of all rows, and of the target rows of either half.
+KINDS = ("n", "t0", "t1")
+
+
+class Words(dict):
+    """32-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return out
+
+
+def parts(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text cut at white space into parts of some ``size`` characters; a longer run without any stays whole."""
+    lo = 0
+    while len(text) - lo > size:
+        cut = re.compile(r"\s").search(text, lo + size)
+        if not cut:
+            break
+        yield text[lo : cut.start()]
+        lo = cut.start()
+    yield text[lo:]
+
+
+def bigrams(text: str, known: Words) -> np.ndarray:
+    """Each word with the one before it, as one number."""
+    found = [np.fromiter(map(known.__getitem__, _WORD.findall(p.lower())), np.uint64) for p in parts(text)]
+    words = np.concatenate([np.array([START], np.uint64), *found])
+    return ((words[:-1] << np.uint64(32)) | words[1:]).view(np.int64)
+
+
+def _blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(doc_id, target, half) and bigrams of the rows of each block."""
+    known, rows, grams, size = Words(), [], [], 0
+    for pdf in pdfs:
+        for row in zip(pdf["doc_id"], pdf["text"], pdf["target"], pdf["half"], strict=True):
+            if rows and size + len(row[1]) > BLOCK:
+                yield rows, grams
+                rows, grams, size = [], [], 0
+            rows.append((row[0], row[2], row[3]))
+            grams.append(bigrams(row[1], known))
+            size += len(row[1])
+    if rows:
+        yield rows, grams
+
+
+def _coded(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document (``at`` and ``times`` in its block's bigrams), and one for each block (its bigrams, by kind of count)."""
+    part = pyspark.TaskContext.get().partitionId()
+    for k, (rows, grams) in enumerate(_blocks(pdfs)):
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        keys, place = np.unique(np.concatenate(grams), return_inverse=True)
+        ends = np.cumsum(sizes)
+        own = [np.unique(place[e - n : e], return_counts=True) for e, n in zip(ends, sizes, strict=True)]
+        counts = {c: np.bincount(place, minlength=len(keys)) for c in KINDS[:1]}
+        for h in (0, 1):
+            mine = np.repeat([t and half == h for _, t, half in rows], sizes)
+            counts[f"t{h}"] = np.bincount(place[mine], minlength=len(keys))
+        block = (part << 24) | k
+        yield pd.DataFrame(
+            {
+                "block": block,
+                "doc_id": pd.Series([r[0] for r in rows] + [None], dtype=object),
+                "fold": [2 if not t else 1 - half for _, t, half in rows] + [-1],
+                "at": [a.astype(np.int32) for a, _ in own] + [None],
+                "times": [n.astype(np.int32) for _, n in own] + [None],
+                "keys": [None] * len(rows) + [keys],
+                **{c: [None] * len(rows) + [counts[c].astype(np.int32)] for c in KINDS},
+            }
+        )
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and ``target``: whether the row is labelled good."""
+    """doc_id, text, ``target``: whether the row is labelled good, and ``half``, by a hash of its text."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
-    if labels.count() <= BROADCAST_ROWS:
-        good = F.broadcast(good)
-    return docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good, F.col("doc_id") == F.col("good_id"), "left")
+    return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"), F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"))
 
 
-def count(rows: DataFrame) -> DataFrame:
-    """gram, n, and target: its count in target rows, over all of ``rows`` (text, target)."""
-    some = rows.select("target", F.coalesce("text", F.lit("")).alias("text"))
-    return some.mapInPandas(_count, "gram int, target long, n long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Losses by 4-gram: a row for each seen one, and what the others are composed of."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        n3 = KINDS**3
-        context, suffix = keys >> 6, keys & (n3 - 1)
-        total = np.bincount(context, counts, n3)
-        kinds = np.bincount(context[counts > 0], minlength=n3)
-        lower = np.bincount(suffix, counts, n3)
-        p = np.full(1, 1 / KINDS)
-        for o in (1, 2, 3):
-            c = lower.reshape(-1, KINDS**o).sum(0)
-            rows = c.reshape(-1, KINDS)
-            t, size = (rows > 0).sum(1, keepdims=True), rows.sum(1, keepdims=True)
-            below = np.tile(p.reshape(-1, KINDS) if o > 1 else p, (KINDS if o > 1 else 1, 1))
-            p = np.where(t > 0, (rows + t * below) / np.maximum(size + t, 1), below).ravel()
-        self.keys, self.p3 = keys, p
-        self.stay = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        self.seen = -np.log(counts / np.maximum(total + kinds, 1)[context] + self.stay[context] * p[suffix]).astype(np.float32)
-
-    def dense(self) -> np.ndarray:
-        """The loss of every 4-gram."""
-        out = (-np.log(self.stay)[:, None] - np.tile(np.log(self.p3).reshape(-1, KINDS), (KINDS, 1))).astype(np.float32).ravel()
-        out[self.keys] = self.seen
-        return out
+def coded(rows: DataFrame) -> DataFrame:
+    """The documents and blocks of :func:`marked`'s rows; stored, as a block's number holds for one reading."""
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = rows.mapInPandas(_coded, "block long, doc_id string, fold int, at array<int>, times array<int>, keys array<long>, " + ", ".join(f"{c} array<int>" for c in KINDS))
+    return stored(out, "lm-coded")
+
+
+def requests(blocks: DataFrame) -> DataFrame:
+    """(block, at, key) and the counts of each distinct bigram of each block."""
+    pairs = blocks.where("keys is not null").select("block", F.posexplode(F.arrays_zip("keys", *KINDS)).alias("at", "x"))
+    return pairs.select("block", "at", F.col("x.keys").alias("key"), *[F.col(f"x.{c}").alias(c) for c in KINDS])
 
 
-def fit(counts: DataFrame) -> tuple[Model, Model]:
-    """(target, background) from the table of :func:`count`."""
-    pdf = counts.toPandas().sort_values("gram")
-    keys = pdf["gram"].to_numpy(np.int64)
-    return Model(keys, pdf["target"].to_numpy(float)), Model(keys, pdf["n"].to_numpy(float))
-
-
-_DENSE: dict[int, np.ndarray] = {}
-
-
-def score(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """doc_id, n_tokens, target_ce, background_ce and ce_diff of each row of ``docs``."""
-    handle = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = handle.value
-        if id(got) not in _DENSE:
-            _DENSE.clear()
-            _DENSE[id(got)] = np.stack([m.dense() for m in got], 1)
-        table = _DENSE[id(got)]
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            total, n = np.zeros((len(texts), 2)), np.zeros(len(texts), np.int64)
-            for at, part in _parts(texts):
-                g, starts = grams(part)
-                loss = table[g]
-                loss[starts] = 0
-                np.add.at(total, at, np.add.reduceat(loss, starts, axis=0, dtype=np.float64))
-                np.add.at(n, at, np.diff(np.append(starts, len(g))) - 1)
-            ce = total / np.maximum(n, 1)[:, None]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "target_ce": np.round(ce[:, 0], 6), "background_ce": np.round(ce[:, 1], 6), "ce_diff": np.round(ce[:, 0] - ce[:, 1], 6)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, target_ce double, background_ce double, ce_diff double")
+def _sums(table: DataFrame, by: str, other: str, tag: str) -> DataFrame:
+    """``table`` with the sums of its counts over rows with the same ``by``, and how many of them aren't 0; a frequent one is dealt over SALTS tasks."""
+    kinds = {"n": F.col("n"), "t0": F.col("t0"), "t1": F.col("t1"), "t2": F.col("t0") + F.col("t1")}
+    dealt = table.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    some = dealt.groupBy(by, "salt").agg(*[F.sum(c).alias(f"{tag}_{k}") for k, c in kinds.items()], *[F.sum((c > 0).cast("long")).alias(f"{tag}_{k}_kinds") for k, c in kinds.items()])
+    names = [c for c in some.columns if c not in (by, "salt")]
+    whole = some.groupBy(by).agg(*[F.sum(c).alias(c) for c in names])
+    return dealt.join(some.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
+
+
+def losses(counts: DataFrame) -> DataFrame:
+    """key, its loss under the background (``loss``), and under the target's halves and whole (``loss0`` to ``loss2``)."""
+    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
+    table = counts.select("key", first.alias("v"), second.alias("w"), *KINDS)
+    words = table.groupBy("w").agg(*[F.sum(c).alias(c) for c in KINDS])
+    kinds = {"n": F.col("n"), "t0": F.col("t0"), "t1": F.col("t1"), "t2": F.col("t0") + F.col("t1")}
+    whole = words.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{k}") for k, c in kinds.items()], *[F.coalesce(F.sum((c > 0).cast("long")), F.lit(0)).alias(f"all_{k}_kinds") for k, c in kinds.items()]).first()  # one row
+    rows = _sums(_sums(table, "v", "w", "ctx"), "w", "v", "word")
+
+    def loss(k: str) -> Column:
+        flat = 1.0 / max(whole["words"], 1)
+        total, types = whole[f"all_{k}"], whole[f"all_{k}_kinds"]
+        one = (F.col(f"word_{k}") + F.lit(types * flat)) / F.lit(float(total + types)) if total else F.lit(flat)
+        seen, there = F.col(f"ctx_{k}"), F.col(f"ctx_{k}_kinds")
+        return -F.log(F.when(seen > 0, (kinds[k] + there * one) / (seen + there)).otherwise(one))
+
+    return rows.select("key", *[loss(k).cast("float").alias(name) for k, name in (("n", "loss"), ("t0", "loss0"), ("t1", "loss1"), ("t2", "loss2"))])
+
+
+def _added(key: tuple, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Scores of a block's documents from the losses of its bigrams."""
+    known = known.sort_values("spot")
+    loss = known[["loss", "loss0", "loss1", "loss2"]].to_numpy(np.float64)
+    out = []
+    for fold, at, times in zip(docs["fold"], docs["at"], docs["times"], strict=True):
+        n = int(times.sum())
+        out.append((n, times @ loss[at, 1 + fold] / n, times @ loss[at, 0] / n) if n else (0, 0.0, 0.0))
+    n, target, background = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "n_tokens": n, "target_ce": np.round(target, 6), "background_ce": np.round(background, 6), "ce_diff": np.round(target - background, 6)})
+
+
+def _counted(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("key").agg(*[F.sum(c).alias(c) for c in KINDS])
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """The models' table, key and KINDS, from :func:`marked`'s rows."""
+    return _counted(requests(coded(rows)))
+
+
+def score(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_ce, background_ce and ce_diff of each of :func:`marked`'s rows, by the models of these rows or of other ``counts``."""
+    blocks = coded(rows)
+    asked = requests(blocks)
+    if counts is not None:
+        asked_only = asked.select("key", *[F.lit(0).alias(c) for c in KINDS])
+        counts = counts.select("key", *KINDS).unionByName(asked_only)
+    table = stored(losses(_counted(asked if counts is None else counts)), "lm-losses")
+    answers = asked.select(F.col("block").alias("of"), F.col("at").alias("spot"), "key").join(table, "key").drop("key")
+    documents = blocks.where("fold >= 0").select("block", "doc_id", "fold", "at", "times")
+    added = documents.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(_added, "doc_id string, n_tokens long, target_ce double, background_ce double, ce_diff double")
+    return added.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, lm_score, order_minhash, piece_codec, pii, quality, secret_scan, url_filter
-from .common import hash_share, stored, table
+from .common import stored, table
 
 #: A SentencePiece model with byte fallback.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,18 +54,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    rows = url_filter.parsed(pages, ["page_id"]).where("fit is not null")
-    n = rows.count()
-    # the labelled table: about half of its bound, of the urls that a rule decides
-    some = rows.where(hash_share(F.col("page_id"), LABELLED_URLS / 2 / max(n, 1), "urls"))
-    model = url_filter.train(some.select("host", "path", (F.col("fit.verdict") == "block").alias("blocked")), LABELLED_URLS)
+    model = url_filter.train(url_filter.labelled(pages, LABELLED_URLS), LABELLED_URLS)
     return url_filter.judge(pages, model)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = lm_score.count(lm_score.marked(docs, table(spark, sf_dir, "labels")))
-    return lm_score.score(docs, lm_score.fit(counts))
+    return lm_score.score(lm_score.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_pii, op5_chat, op6_piece_codec, op7_quality_rules, op8_decontamination, op9_url_filter, op10_lm_score)}
