@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, or one of ours where none is set."""
+    """The folder all executors share: the session's checkpoint folder, or, on one machine only, one of ours where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewatch-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,19 +38,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     It cuts the lineage, is computed once, and survives a lost executor.
     """
     path = f"{shared_dir(df.sparkSession)}/tidewatch-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     return out
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Deletes the folders of frames from :func:`stored` that nothing reads any more."""
+    """Deletes the folders of frames from :func:`stored` that nothing reads any more.
+
+    The driver's garbage is collected too, for that is when Spark deletes the shuffle files of finished plans.
+    """
     for df in frames:
         if path := _FOLDERS.pop(df, None):
-            jvm = df.sparkSession.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            context._jvm.System.gc()
 
 
 def whole_text(column: str = "text") -> Column:
