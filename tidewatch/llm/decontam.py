@@ -6,15 +6,18 @@ occurrence has an exact piece hit.  One Aho-Corasick automaton over the pieces o
 all items finds the hits in one pass over a text; around each hit, Myers'
 bit-parallel distance verifies the item in a window that k edits can't leave.
 
-Normalisation: lower case, runs of white space as one space.  Edge cases: a null
-text is the empty string; items that are null or shorter than ``least_chars`` are
-no evidence and match nothing; items with one normalised text match together.
+Normalisation: lower case, runs of white space as one space.  An item shorter than
+``least_chars`` matches without edits and as whole words only, for a few edits would make
+other words of it.  Edge cases: a null text is the empty string; items that are null or
+have no character match nothing; items with one normalised text match together, and of
+several texts of one item id the nearest counts; a null item id is an id.
 Rows are judged one by one, so repeated rows, ids and extra columns change
 nothing; an empty benchmark clears every row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, stored
+
+#: In place of an edit budget: the item matches as whole words.
+WHOLE = -1
+
 
 def normalised(text: str) -> str:
     return " ".join(text.lower().split())
@@ -70,15 +78,15 @@ class Matcher:
         self.items: list[tuple[str, int]] = []
         self.masks: dict[int, dict[str, int]] = {}
         by_text: dict[str, list[int]] = {}
-        for i, text in sorted(items):
-            if len(s := normalised(text)) >= least_chars:
+        for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+            if s := normalised(text):
                 by_text.setdefault(s, []).append(i)
         spots: dict[str, list[tuple[int, int]]] = {}
         for at, (s, ids) in enumerate(by_text.items()):
-            k = int(rate * len(s))
+            k = int(rate * len(s)) if len(s) >= least_chars else WHOLE
             self.items.append((s, k))
             self.ids.append(ids)
-            for offset, piece in pieces(s, k):
+            for offset, piece in pieces(s, max(k, 0)):
                 spots.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in spots.items():
@@ -100,6 +108,10 @@ class Matcher:
         for at, found in starts.items():
             item, k = self.items[at]
             m = len(item)
+            if k == WHOLE:
+                if any(not s[max(a - 1, 0) : a].isalnum() and not s[a + m : a + m + 1].isalnum() for a in found):
+                    best[at] = 0
+                continue
             if any(a >= 0 and s.startswith(item, a) for a in found):
                 best[at] = 0
                 continue
@@ -112,7 +124,22 @@ class Matcher:
                 least = min(least, search_distance(self.masks.setdefault(at, masks(item)), m, window))
             if least <= k:
                 best[at] = least
-        return {i: d for at, d in best.items() for i in self.ids[at]}
+        out: dict[int, int] = {}
+        for at, d in best.items():
+            for i in self.ids[at]:
+                out[i] = min(d, out.get(i, d))
+        return out
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list, rate: float, least_chars: int) -> Matcher:
+    """The matcher of this name; a worker keeps the last one."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(items, rate, least_chars)
+    return _MATCHERS[name]
 
 
 def find(
@@ -126,8 +153,9 @@ def find(
 ) -> DataFrame:
     """``keep`` columns (doc_id) with ``item_ids``, sorted, and ``distances`` beside them.
 
-    Items go to the executors in blocks of at most about ``block_chars`` characters,
-    each block in one pass over the rows, so that no broadcast grows with the benchmark.
+    Items go to the executors in blocks of at most about ``block_chars`` characters.  Each
+    block takes one pass over the rows, whose result is stored before the next block is
+    read, so that neither a broadcast nor a worker grows with the benchmark.
     """
     keep = keep or ["doc_id"]
     cols = [*keep, *(["text"] if "text" not in keep else [])]
@@ -141,13 +169,18 @@ def find(
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         listed = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.collect()])
 
-        def run(batches: Iterator[pd.DataFrame], listed=listed) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(listed.value, rate, least_chars)
+        def run(batches: Iterator[pd.DataFrame], listed=listed, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            matcher = _matcher(name, listed.value, rate, least_chars)
             for pdf in batches:
                 found = [matcher.find(t) if isinstance(t, str) else {} for t in pdf["text"]]
                 pdf["hits"] = [[*h, *({"item_id": i, "distance": d} for i, d in f.items())] for h, f in zip(pdf["hits"], found, strict=True)]
                 yield pdf
 
-        rows = rows.mapInPandas(run, f"{handed}, hits {none}")
-    hits = F.array_sort("hits")
+        last, rows = rows, rows.mapInPandas(run, f"{handed}, hits {none}")
+        if b < blocks - 1:
+            rows = stored(rows, "decontamination")
+            listed.unpersist()
+            dropped(last)
+    best = F.aggregate(F.array_sort("hits"), F.array().cast(none), lambda acc, x: F.when((F.size(acc) > 0) & F.element_at(acc, -1)["item_id"].eqNullSafe(x["item_id"]), acc).otherwise(F.concat(acc, F.array(x))))
+    hits = best if blocks > 1 else F.array_sort("hits")  # two texts of one item may be in two blocks
     return rows.select(*keep, hits["item_id"].alias("item_ids"), hits["distance"].alias("distances"))

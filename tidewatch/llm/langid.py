@@ -30,7 +30,7 @@ ORDER = 4
 DISCOUNT = 0.75
 UND = "und"
 #: Characters that are worked on at once, so that memory doesn't follow the length of a text.
-CHUNK = 1_500_000
+CHUNK = 1 << 19
 #: Length classes, in characters, of the rejection bounds; the quantile of the labelled gaps, and the least documents of a class that have one of their own.
 CLASSES = (50, 200, 1000)
 QUANTILE, CLASS_DOCS = 0.98, 50
@@ -58,28 +58,35 @@ _LETTER: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _LETTER
 
 
-def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters of the texts with runs of other characters as one 0; three zeros before each text.
+def _symbols(texts: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of the texts, 16 bits each, with runs of other characters as one 0; three zeros before each text.
 
+    Letters above the first plane share the 6,400 symbols of its private-use area.
+    With ``before``, the first text goes on after these three symbols.
     Returns the symbols and the place where each text starts.
     """
     low = [t.lower() for t in texts]
     codes = np.frombuffer(("\0\0\0" + "\0\0\0".join(low)).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter(map(len, low), np.int64, len(low))
-    letter = _letters()[np.minimum(codes, 0xFFFF)]
+    letter = _letters()[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    if before is not None and before[-1] and lens[0]:
+        keep[3] = True  # a run of other characters begins here
     starts = np.concatenate([[0], np.cumsum(lens + 3)[:-1]])
     for k in range(3):
         keep[starts + k] = True
-    out = np.where(letter, codes & 0xFFFF, 0)[keep]
-    return out.astype(np.uint64), (np.cumsum(keep) - keep)[starts]
+    out = np.where(letter, np.where(codes > 0xFFFF, 0xE000 + codes % 6400, codes), 0)[keep].astype(np.uint64)
+    if before is not None:
+        out[:3] = before
+    return out, (np.cumsum(keep) - keep)[starts]
 
 
 def _grams(symbols: np.ndarray, order: int) -> np.ndarray:
@@ -97,20 +104,21 @@ def _scored(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mask
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """(indices, texts) of at most CHUNK characters together; a longer text comes in parts."""
-    at, part, n = [], [], 0
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(indices of texts, :func:`_symbols` of them) for at most CHUNK characters at once; a longer text comes in parts, each with the symbols before it."""
+    at, part, n, before = [], [], 0, None
     for i, t in enumerate(texts):
         for k in range(0, max(len(t), 1), CHUNK):
             s = t[k : k + CHUNK]
-            if part and n + len(s) > CHUNK:
-                yield at, part
-                at, part, n = [], [], 0
+            if part and (k or n + len(s) > CHUNK):
+                symbols, starts = _symbols(part, before)
+                yield at, symbols, starts
+                at, part, n, before = [], [], 0, symbols[-3:] if k else None
             at.append(i)
             part.append(s)
             n += len(s)
     if part:
-        yield at, part
+        yield at, *_symbols(part, before)
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +126,7 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, group in pdf.groupby("lang"):
             total = sums.setdefault(lang, {})
-            for _, part in _pieces(group["text"].tolist()):
-                symbols, starts = _symbols(part)
+            for _, symbols, starts in _pieces(group["text"].tolist()):
                 keys, n = np.unique(_grams(symbols, ORDER)[_scored(symbols, starts)], return_counts=True)
                 for k, c in zip(keys.tolist(), n.tolist(), strict=True):
                     total[k] = total.get(k, 0) + c
@@ -204,8 +211,7 @@ def _losses(model: Model, symbols: np.ndarray) -> np.ndarray:
 def cross_entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per character of each text under each language, and its number of characters."""
     total, n = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), np.int64)
-    for at, part in _pieces(texts):
-        symbols, starts = _symbols(part)
+    for at, symbols, starts in _pieces(texts):
         mask = _scored(symbols, starts)
         loss = _losses(model, symbols)
         loss[~mask] = 0
@@ -219,27 +225,27 @@ def fit(
     *,
     docs_per_lang: int = 1000,
     calibration_docs_per_lang: int = 400,
+    max_langs: int = 1000,
     slack: float = 1.25,
 ) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) with a language and a text.
 
     Rows with remainder 1 of crc32(doc_id) mod 4 calibrate, the others are counted.
     ``docs_per_lang`` and ``calibration_docs_per_lang`` bound, in expectation, the
-    documents of each language that are used; they are chosen by a hash of the id.
+    documents of each language that are used; they are chosen by a hash of id and text, and
+    a repeated row counts once.  ``max_langs`` bounds the languages, by their rows.
     ``slack`` widens the rejection bounds beyond the calibration documents' QUANTILE.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text", (fold == 1).alias("held"))
-    sizes = {(r["lang"], r["held"]): r["n"] for r in rows.groupBy("lang", "held").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    langs = rows.groupBy("lang").agg(F.count_if(~F.col("held")).alias("counted"), F.count_if("held").alias("held")).orderBy(F.desc(F.col("counted") + F.col("held")), "lang").limit(max_langs).collect()
+    if not langs:
         return Model([])
-    chosen = F.lit(False)
     slots = 1 << 30
-    spot = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(slots))
-    for (lang, held), n in sizes.items():
-        share = min(1.0, (calibration_docs_per_lang if held else docs_per_lang) / n)
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("held") == held) & (spot < int(share * slots)))
-    rows = rows.where(chosen)
+    shares = [(r["lang"], h, int(min(1.0, most / max(r[k], 1)) * slots)) for r in langs for h, k, most in ((False, "counted", docs_per_lang), (True, "held", calibration_docs_per_lang))]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, held boolean, share long")  # at most 2 * max_langs rows
+    spot = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(slots))
+    rows = rows.join(F.broadcast(shares), ["lang", "held"]).where(spot < F.col("share")).dropDuplicates(["lang", "doc_id", "text"])
     counted = rows.where("not held").select("lang", "text").mapInPandas(_count_grams, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     model = kneser_ney({lang: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for lang, g in table.groupby("lang")})

@@ -3,7 +3,7 @@
 Two plain rules fail a text (under 50 words, or more than half of its words in
 repeated three-word windows).  The statistics behind the rules, and a few more of
 the same kind, go to an isolation forest: random splits isolate odd rows on short
-paths.  The forest is fitted on a bounded sample of all rows; the cut on its
+paths.  Its trees draw their samples from all rows; the cut on its
 score has the best balanced accuracy over every labelled row that the rules let pass.
 
 Edge cases: a null or empty text has no words, all statistics 0 and fails.  Rows
@@ -144,13 +144,17 @@ class Forest:
         return 2 ** (-total / len(self.trees) / max(self.expected, 1e-9))
 
 
-def fit(stats: DataFrame, sample_rows: int = 4096, trees: int = 100, sample: int = 256, seed: int = 7) -> Forest | None:
-    """A forest on at most about ``sample_rows`` rows that have words, chosen by a hash of the id."""
+def fit(stats: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7) -> Forest | None:
+    """A forest whose trees draw ``sample`` rows each from about ``trees * sample`` of all rows that have words.
+
+    These are chosen by a hash of the whole row, a repeated row once.
+    """
     rows = stats.where("n_words > 0")
     n = rows.count()
     if not n:
         return None
-    x = rows.where(hash_share(F.col("doc_id"), sample_rows / n, "forest")).orderBy("doc_id", *COUNTS).toPandas()
+    some = hash_share(F.xxhash64("doc_id", *COUNTS, *MORE), trees * sample / n, "forest")
+    x = rows.where(some).dropDuplicates().orderBy("doc_id", *COUNTS, *MORE).toPandas()
     return Forest(features(x), trees, sample, seed) if len(x) else None
 
 

@@ -1,14 +1,17 @@
 """URL filtering with SQL functions alone: rules first, then a logistic regression.
 
 The model sees hashed character 3- to 5-grams of host and path.  It is trained on
-a small labelled table of URLs, whose size is a parameter; its weights are one
-array literal in the scoring expression.
+a small labelled table of URLs (host, path, blocked), which may come from anywhere; its
+weights are one array literal in the scoring expression.  Where there is no such table,
+:func:`labelled` makes one from the URLs that the rules decide, so that the model carries
+the rules' verdicts over to URLs that look like theirs.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is judged by the model on these empty strings.  Rows are judged one
-by one, so repeated rows, ids and extra columns change nothing; ties of rules
-can't occur, as two rules of one length that fit one url are the same.  Without a
-labelled row the model allows everything.
+by one, and the labelled table holds each URL once, so repeated rows, ids (null ones
+too) and extra columns change nothing; ties of rules can't occur, as two rules of one
+length that fit one url are the same.  Without a labelled row the model allows
+everything.  The time follows the length of a URL.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import let
+
 # Verdict, host, path.
 RULES = (
     ("allow", "com", "/"),
@@ -60,9 +65,11 @@ def slots(host: Column, path: Column) -> Column:
     """Slots of the distinct hashed n-grams of host and path; the ends are marked."""
 
     def grams(part: Column, tag: str, n: int) -> Column:
-        s = F.concat(F.lit("^"), part, F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(f"{tag}{n}"), F.substring(s, i, F.lit(n))), F.lit(SLOTS)).cast("int"))
+        def cut(chars: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(f"{tag}{n}"), F.array_join(F.slice(chars, i, F.lit(n)), "")), F.lit(SLOTS)).cast("int"))
+
+        return let(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), cut)
 
     return F.array_distinct(F.concat(*[grams(host, "h", n) for n in SIZES], *[grams(path, "p", n) for n in SIZES]))
 
@@ -73,6 +80,12 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [0.0] * SLOTS)
 
 
+def labelled(pages: DataFrame, rows: int, rules: tuple = RULES) -> DataFrame:
+    """(host, path, blocked) of ``rows`` distinct URLs that a rule decides, those of the lowest hashes."""
+    urls = parsed(pages, [], rules).where("fit is not null").select("host", "path", (F.col("fit.verdict") == "block").alias("blocked")).distinct()
+    return urls.orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows)
+
+
 def train(labelled: DataFrame, rows: int, rounds: int = 800, decay: float = 1e-4) -> Model:
     """A model from (host, path, blocked), which must have at most ``rows`` rows."""
     table = labelled.select(F.col("blocked").cast("int").alias("y"), F.array_sort(slots(F.col("host"), F.col("path"))).alias("x")).limit(rows + 1).collect()
