@@ -710,32 +710,38 @@ def test_url_model_separates(spark):
 # -- LM ---------------------------------------------------------------------------
 
 
-def lm_words(text):
-    return re.findall(r"[^\W\u3040-\u30ff\u3400-\u9fff]+|\S", (text or "").lower())
+def lm_symbols(text):
+    out = []
+    for c in (text or "").lower():
+        c = " " if c.isspace() or c == "\0" else c
+        if c != " " or out[-1:] != [" "]:
+            out.append(c)
+    return out
 
 
 def brute_lm(counted, everything, text):
-    """Mean Witten-Bell loss of a text's words from plain counts of the ``counted`` texts; the vocabulary is of ``everything``."""
+    """Mean Witten-Bell loss of a text's characters from plain counts of the ``counted`` texts; the vocabulary is of ``everything``."""
     from collections import Counter
 
-    vocabulary = {w for t in everything for w in lm_words(t)}
-    one, two = Counter(), Counter()
+    c = [Counter() for _ in range(5)]
     for t in counted:
-        s = lm_words(t)
-        one.update(s)
-        two.update(zip([None, *s], s))
-    flat = 1 / max(len(vocabulary), 1)
+        s = [None] * 3 + lm_symbols(t)
+        for i in range(3, len(s)):
+            for o in range(1, 5):
+                c[o][tuple(s[i - o + 1 : i + 1])] += 1
+    flat = 1 / max(len({x for t in everything for x in lm_symbols(t)}), 1)
 
-    def p(v, w):
-        low = (one[w] + len(one) * flat) / (sum(one.values()) + len(one)) if one else flat
-        kin = [n for (a, _), n in two.items() if a == v]
-        return (two[v, w] + len(kin) * low) / (sum(kin) + len(kin)) if kin else low
+    def p(g):
+        o = len(g)
+        below = p(g[1:]) if o > 1 else flat
+        kin = [n for k, n in c[o].items() if k[:-1] == g[:-1]]
+        return (c[o][g] + len(kin) * below) / (sum(kin) + len(kin)) if kin else below
 
-    s = lm_words(text)
-    return np.mean([-math.log(p(v, w)) for v, w in zip([None, *s], s)]) if s else 0.0
+    s = [None] * 3 + lm_symbols(text)
+    return np.mean([-math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]) if len(s) > 3 else 0.0
 
 
-@pytest.mark.parametrize("block", [6_000_000, 60])
+@pytest.mark.parametrize("block", [8_000_000, 60])
 def test_lm_scores(spark, monkeypatch, block):
     monkeypatch.setattr(lm_score, "BLOCK", block)
     rng = random.Random(17)
@@ -750,22 +756,28 @@ def test_lm_scores(spark, monkeypatch, block):
         target = [texts[j] for j in range(6) if i >= 6 or half[j] != half[i]]
         want = brute_lm(target, texts, t), brute_lm(texts, texts, t)
         assert (got[i]["target_ce"], got[i]["background_ce"]) == pytest.approx(want, abs=2e-5), t
-        assert got[i]["n_tokens"] == len(lm_words(t))
+        assert got[i]["n_tokens"] == len(lm_symbols(t))
     again = {r["doc_id"]: r for r in lm_score.score(rows, lm_score.count(rows)).collect()}
     assert got == again and len(got) == len(texts)
     other = lm_score.score(lm_score.marked(spark.createDataFrame([(None, "the qqq"), (2**60 + 1, "the qqq")], "doc_id long, text string"), labels), lm_score.count(rows)).collect()
     assert {r["doc_id"] for r in other} == {None, 2**60 + 1} and other[0]["target_ce"] == other[1]["target_ce"] > 0
     assert lm_score.score(lm_score.marked(docs.limit(0), labels.limit(0))).count() == 0
     uniform = {r["doc_id"]: r["target_ce"] for r in lm_score.score(lm_score.marked(docs, labels.limit(0))).collect()}
-    assert uniform[0] == pytest.approx(math.log(len({w for t in texts for w in lm_words(t)})), abs=1e-5)
-
-
-def test_long_texts_are_cut_at_white_space():
-    text = "ab cd " * 50 + "x" * 400 + " y" * 30
-    assert "".join(lm_score.parts(text, 64)) == text and len(list(lm_score.parts(text, 64))) > 4
-    known = lm_score.Words()
-    want = lm_score.bigrams(text, known)
-    assert len(want) == len(lm_words(text)) and lm_score.parts("", 5).__next__() == ""
+    assert uniform[0] == pytest.approx(math.log(len({w for t in texts for w in lm_symbols(t)})), abs=1e-5)
+
+
+def test_long_texts_keep_their_contexts(monkeypatch):
+    texts = ["", "ab  \n cd" * 9, "x", " " * 40, "the \U00020000 house   " * 7]
+    whole = [g.tolist() for _, g, _ in lm_score.grams(texts)]
+    sizes = [s.tolist() for _, _, s in lm_score.grams(texts)][0]
+    for chunk in (5, 8, 33):
+        monkeypatch.setattr(lm_score, "CHUNK", chunk)
+        n = np.zeros(len(texts), int)
+        found = []
+        for at, g, some in lm_score.grams(texts):
+            np.add.at(n, at, some)
+            found += g.tolist()
+        assert found == whole[0] and n.tolist() == sizes == [len(lm_symbols(t)) for t in texts]
 
 
 def test_every_query_is_registered():

@@ -1,118 +1,158 @@
-"""Cross-entropy difference of a target and a background word model.
+"""Cross-entropy difference of a target and a background character model.
 
-Both are bigram models over one vocabulary, all words of all documents (lower-cased
-runs of letters and digits, single ideographs and marks, as 32-bit hashes), with
-Witten-Bell interpolation to unigrams and on to the uniform distribution.  The
-background counts every document, the target those labelled good.  Every word of a
-text has a loss under both; the mean losses and their difference score the text
-(below 0: more like the target).  A target row is scored by the target rows of the
-other half, by a hash of its text, so that it isn't judged by its own counts (nor by
-its copies').
+Both are order-4 models over one vocabulary, all characters of all documents, with
+Witten-Bell interpolation down to the uniform distribution.  The background counts every
+document, the target those labelled good.  Every character of a text has a loss under
+both; the mean losses and their difference score the text (below 0: more like the
+target).  A target row is scored by the target rows of the other half, by a hash of its
+text, so that it isn't judged by its own counts (nor by its copies').
+
+A character is its lower-cased code point, a run of white space one space; code points
+above the first plane share the 6,400 symbols of its private-use area.  (Bigrams of whole
+words were tried: in texts of many words nearly every one is new, and their shuffle alone
+is seven times the texts.)
 
 The tables grow with the corpus and are never collected or broadcast.  The texts are
-read once, in blocks of about ``BLOCK`` characters: each gives its distinct bigrams with
-counts, and each of its documents as places in that list.  The blocks' bigrams are
-summed by key, get their losses by joins with the sums of their first and second words
-(frequent ones dealt over ``SALTS`` tasks), and go back to their blocks, where the
-documents add them up.  So a shuffle carries a block's distinct bigrams and no text, and
-a task holds a block.
-
-Edge cases: a null or empty text, or one of white space, has no word and scores 0.  A
-repeated row counts again in the models and is scored again; labels with a null id or
-quality are passed over, of several labels of one id the lowest counts.  Without a
-target row the target models are uniform.  Extra columns change nothing; an empty table
-gives an empty result.
+dealt into blocks of about ``BLOCK`` characters, each with its distinct 4-grams and their
+counts.  The 4-grams of all blocks are summed by key, get their losses by joins with the
+sums of their contexts and with the next lower order, and go back to their blocks, where
+the texts add them up.  A task holds a block.
+
+Edge cases: a null or empty text has no character and scores 0.  A repeated row counts
+again in the models and is scored again; labels with a null id or quality are passed
+over, of several labels of one id the lowest counts.  Without a target row the target
+models are uniform.  A text longer than ``BLOCK`` is a block of its own, worked on in
+parts of ``CHUNK`` characters.  Extra columns change nothing; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyspark
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK = 6_000_000
-SALTS = 32
-#: The word before the first one; no hash has this value.
-START = 0
-_WORD = re.compile(r"[^\W぀-ヿ㐀-鿿]+|[^\s]")
+ORDER = 4
+BLOCK = 8_000_000
+CHUNK = 1 << 20
+SPACE = 32
 #: Count columns: of all rows, and of the target rows of either half.
 KINDS = ("n", "t0", "t1")
-
-
-class Words(dict):
-    """32-bit hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) or 1
-        return out
-
-
-def parts(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """A text cut at white space into parts of some ``size`` characters; a longer run without any stays whole."""
-    lo = 0
-    while len(text) - lo > size:
-        cut = re.compile(r"\s").search(text, lo + size)
-        if not cut:
-            break
-        yield text[lo : cut.start()]
-        lo = cut.start()
-    yield text[lo:]
-
-
-def bigrams(text: str, known: Words) -> np.ndarray:
-    """Each word with the one before it, as one number."""
-    found = [np.fromiter(map(known.__getitem__, _WORD.findall(p.lower())), np.uint64) for p in parts(text)]
-    words = np.concatenate([np.array([START], np.uint64), *found])
-    return ((words[:-1] << np.uint64(32)) | words[1:]).view(np.int64)
-
-
-def _blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_id, target, half) and bigrams of the rows of each block."""
-    known, rows, grams, size = Words(), [], [], 0
+#: Models: the background, and the target's halves and whole.
+MODELS = ("n", "t0", "t1", "t2")
+
+_SPACES: np.ndarray | None = None
+
+
+def _spaces() -> np.ndarray:
+    """Whether each code point is white space, as 0 is taken to be."""
+    global _SPACES
+    if _SPACES is None:
+        _SPACES = np.fromiter((c == 0 or chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
+    return _SPACES
+
+
+def symbols(texts: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit symbols of the texts with three zeros before each one, and the place where each text's zeros start.
+
+    With ``before``, the first text goes on after these three symbols.
+    """
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer(("\0\0\0" + "\0\0\0".join(low)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter(map(len, low), np.int64, len(low))
+    starts = np.concatenate([[0], np.cumsum(lens + 3)[:-1]])
+    out = np.where(_spaces()[codes], SPACE, np.where(codes > 0xFFFF, 0xE000 + codes % 6400, codes)).astype(np.uint64)
+    for k in range(3):
+        out[starts + k] = 0
+    if before is not None:
+        out[:3] = before
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
+    keep[:3] = True
+    return out[keep], (np.cumsum(keep) - keep)[starts]
+
+
+def grams(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(indices of texts, the 4-gram that ends at each character, number of characters by text) for CHUNK characters at once; a longer text in parts."""
+
+    def cut(part: list[str], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, starts = symbols(part, before)
+        out = s.copy()
+        for k in range(1, ORDER):
+            out[k:] |= s[:-k] << np.uint64(16 * k)
+        live = np.ones(len(s), bool)
+        for k in range(3):
+            live[starts + k] = False
+        return s[-3:], out[live].view(np.int64), np.diff(np.append(starts, len(s))) - 3
+
+    at, part, n, before = [], [], 0, None
+    for i, t in enumerate(texts):
+        for k in range(0, max(len(t), 1), CHUNK):
+            piece = t[k : k + CHUNK]
+            if part and (k or n + len(piece) > CHUNK):
+                last, found, sizes = cut(part, before)
+                yield at, found, sizes
+                at, part, n, before = [], [], 0, last if k else None
+            at.append(i)
+            part.append(piece)
+            n += len(piece)
+    if part:
+        yield at, *cut(part, before)[1:]
+
+
+def _summed(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (key, counts) with the counts of equal keys summed, by key."""
+    rows = np.concatenate(found, 1)
+    keys, at = np.unique(rows[0], return_inverse=True)
+    return np.stack([keys, *(np.bincount(at, r, len(keys)).astype(np.int64) for r in rows[1:])])
+
+
+def _counts(texts: list[str], half: np.ndarray) -> np.ndarray:
+    """(key, n, t0, t1) of the distinct 4-grams of the texts; ``half`` is 2 for a text that is no target."""
+    found = [np.zeros((4, 0), np.int64)]
+    for at, g, sizes in grams(texts):
+        keys, place = np.unique(g, return_inverse=True)
+        of = np.repeat(half[at], sizes)
+        found.append(np.stack([keys, np.bincount(place, minlength=len(keys)), *(np.bincount(place[of == h], minlength=len(keys)) for h in (0, 1))]))
+        if len(found) > 8:
+            found = [_summed(found)]
+    return _summed(found)
+
+
+def _blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """(doc_id, text, target, half) of the rows of each block."""
+    rows, size = [], 0
     for pdf in pdfs:
         for row in zip(pdf["doc_id"], pdf["text"], pdf["target"], pdf["half"], strict=True):
             if rows and size + len(row[1]) > BLOCK:
-                yield rows, grams
-                rows, grams, size = [], [], 0
-            rows.append((row[0], row[2], row[3]))
-            grams.append(bigrams(row[1], known))
+                yield rows
+                rows, size = [], 0
+            rows.append(row)
             size += len(row[1])
     if rows:
-        yield rows, grams
+        yield rows
 
 
-def _coded(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document (``at`` and ``times`` in its block's bigrams), and one for each block (its bigrams, by kind of count)."""
+def _dealt(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with their block and the target model that judges them (2: the whole), and for each block a row with its 4-grams."""
     part = pyspark.TaskContext.get().partitionId()
-    for k, (rows, grams) in enumerate(_blocks(pdfs)):
-        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-        ends = np.cumsum(sizes)
-        own = [np.unique(place[e - n : e], return_counts=True) for e, n in zip(ends, sizes, strict=True)]
-        counts = {c: np.bincount(place, minlength=len(keys)) for c in KINDS[:1]}
-        for h in (0, 1):
-            mine = np.repeat([t and half == h for _, t, half in rows], sizes)
-            counts[f"t{h}"] = np.bincount(place[mine], minlength=len(keys))
-        block = (part << 24) | k
+    for k, rows in enumerate(_blocks(pdfs)):
+        half = np.array([r[3] if r[2] else 2 for r in rows])
+        table = _counts([r[1] for r in rows], half)
+        gone = [None] * len(rows)
         yield pd.DataFrame(
             {
-                "block": block,
+                "block": (part << 24) | k,
                 "doc_id": pd.Series([r[0] for r in rows] + [None], dtype=object),
-                "fold": [2 if not t else 1 - half for _, t, half in rows] + [-1],
-                "at": [a.astype(np.int32) for a, _ in own] + [None],
-                "times": [n.astype(np.int32) for _, n in own] + [None],
-                "keys": [None] * len(rows) + [keys],
-                **{c: [None] * len(rows) + [counts[c].astype(np.int32)] for c in KINDS},
+                "text": [r[1] for r in rows] + [None],
+                "fold": [*np.where(half == 2, 2, 1 - half).tolist(), -1],
+                **{c: [*gone, x] for c, x in zip(("keys", *KINDS), table, strict=True)},
             }
         )
 
@@ -124,78 +164,79 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"), F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"))
 
 
-def coded(rows: DataFrame) -> DataFrame:
-    """The documents and blocks of :func:`marked`'s rows; stored, as a block's number holds for one reading."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """:func:`marked`'s rows in blocks; stored, as a block's number holds for one reading."""
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = rows.mapInPandas(_coded, "block long, doc_id string, fold int, at array<int>, times array<int>, keys array<long>, " + ", ".join(f"{c} array<int>" for c in KINDS))
-    return stored(out, "lm-coded")
+    return stored(rows.mapInPandas(_dealt, "block long, doc_id string, text string, fold int, keys array<long>, " + ", ".join(f"{c} array<long>" for c in KINDS)), "lm-blocks")
 
 
-def requests(blocks: DataFrame) -> DataFrame:
-    """(block, at, key) and the counts of each distinct bigram of each block."""
-    pairs = blocks.where("keys is not null").select("block", F.posexplode(F.arrays_zip("keys", *KINDS)).alias("at", "x"))
-    return pairs.select("block", "at", F.col("x.keys").alias("key"), *[F.col(f"x.{c}").alias(c) for c in KINDS])
+def asked(blocks: DataFrame) -> DataFrame:
+    """(block, key) and the counts of each distinct 4-gram of each block."""
+    pairs = blocks.where("keys is not null").select("block", F.explode(F.arrays_zip("keys", *KINDS)).alias("x"))
+    return pairs.select("block", F.col("x.keys").alias("key"), *[F.col(f"x.{c}").alias(c) for c in KINDS])
 
 
-def _sums(table: DataFrame, by: str, other: str, tag: str) -> DataFrame:
-    """``table`` with the sums of its counts over rows with the same ``by``, and how many of them aren't 0; a frequent one is dealt over SALTS tasks."""
-    kinds = {"n": F.col("n"), "t0": F.col("t0"), "t1": F.col("t1"), "t2": F.col("t0") + F.col("t1")}
-    dealt = table.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    some = dealt.groupBy(by, "salt").agg(*[F.sum(c).alias(f"{tag}_{k}") for k, c in kinds.items()], *[F.sum((c > 0).cast("long")).alias(f"{tag}_{k}_kinds") for k, c in kinds.items()])
-    names = [c for c in some.columns if c not in (by, "salt")]
-    whole = some.groupBy(by).agg(*[F.sum(c).alias(c) for c in names])
-    return dealt.join(some.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
+def _summed_by_key(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in KINDS])
 
 
-def losses(counts: DataFrame) -> DataFrame:
-    """key, its loss under the background (``loss``), and under the target's halves and whole (``loss0`` to ``loss2``)."""
-    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
-    table = counts.select("key", first.alias("v"), second.alias("w"), *KINDS)
-    words = table.groupBy("w").agg(*[F.sum(c).alias(c) for c in KINDS])
-    kinds = {"n": F.col("n"), "t0": F.col("t0"), "t1": F.col("t1"), "t2": F.col("t0") + F.col("t1")}
-    whole = words.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{k}") for k, c in kinds.items()], *[F.coalesce(F.sum((c > 0).cast("long")), F.lit(0)).alias(f"all_{k}_kinds") for k, c in kinds.items()]).first()  # one row
-    rows = _sums(_sums(table, "v", "w", "ctx"), "w", "v", "word")
-
-    def loss(k: str) -> Column:
-        flat = 1.0 / max(whole["words"], 1)
-        total, types = whole[f"all_{k}"], whole[f"all_{k}_kinds"]
-        one = (F.col(f"word_{k}") + F.lit(types * flat)) / F.lit(float(total + types)) if total else F.lit(flat)
-        seen, there = F.col(f"ctx_{k}"), F.col(f"ctx_{k}_kinds")
-        return -F.log(F.when(seen > 0, (kinds[k] + there * one) / (seen + there)).otherwise(one))
-
-    return rows.select("key", *[loss(k).cast("float").alias(name) for k, name in (("n", "loss"), ("t0", "loss0"), ("t1", "loss1"), ("t2", "loss2"))])
+def count(rows: DataFrame) -> DataFrame:
+    """The models' table, key and KINDS, from :func:`marked`'s rows."""
+    return _summed_by_key(asked(dealt(rows)))
+
+
+def _of(model: str) -> Column:
+    return F.col("t0") + F.col("t1") if model == "t2" else F.col(model)
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """key and ``p_n`` to ``p_t2``, its probability under each model, from the summed counts of 4-grams."""
+    tables = {ORDER: counts}
+    for o in range(ORDER - 1, 0, -1):
+        suffix = F.col("key").bitwiseAND((1 << 16 * o) - 1).alias("key")
+        tables[o] = stored(tables[o + 1].groupBy(suffix).agg(*[F.sum(c).alias(c) for c in KINDS]), f"lm-order{o}")
+    sums = lambda: [x for m in MODELS for x in (F.sum(_of(m)).alias(f"all_{m}"), F.count_if(_of(m) > 0).alias(f"kinds_{m}"))]
+    whole = tables[1].agg(F.count("*").alias("vocabulary"), *sums()).first()
+    flat = 1.0 / max(whole["vocabulary"], 1)
+    one = lambda m: (_of(m) + whole[f"kinds_{m}"] * flat) / float(whole[f"all_{m}"] + whole[f"kinds_{m}"]) if whole[f"all_{m}"] else F.lit(flat)
+    lower = tables[1].select("key", *[one(m).alias(f"p_{m}") for m in MODELS])
+    for o in range(2, ORDER + 1):
+        context = F.shiftrightunsigned("key", 16)
+        rows = tables[o].withColumn("context", context).join(tables[o].groupBy(context.alias("context")).agg(*sums()), "context")
+        below = lower.select(F.col("key").alias("suffix"), *[F.col(f"p_{m}").alias(f"low_{m}") for m in MODELS])
+        rows = rows.withColumn("suffix", F.col("key").bitwiseAND((1 << 16 * (o - 1)) - 1)).join(below, "suffix")
+        some = lambda m: (_of(m) + F.col(f"kinds_{m}") * F.col(f"low_{m}")) / (F.col(f"all_{m}") + F.col(f"kinds_{m}"))
+        lower = stored(rows.select("key", *[F.when(F.col(f"all_{m}") > 0, some(m)).otherwise(F.col(f"low_{m}")).alias(f"p_{m}") for m in MODELS]), f"lm-p{o}")
+    return lower
 
 
 def _added(key: tuple, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Scores of a block's documents from the losses of its bigrams."""
-    known = known.sort_values("spot")
-    loss = known[["loss", "loss0", "loss1", "loss2"]].to_numpy(np.float64)
-    out = []
-    for fold, at, times in zip(docs["fold"], docs["at"], docs["times"], strict=True):
-        n = int(times.sum())
-        out.append((n, times @ loss[at, 1 + fold] / n, times @ loss[at, 0] / n) if n else (0, 0.0, 0.0))
-    n, target, background = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "n_tokens": n, "target_ce": np.round(target, 6), "background_ce": np.round(background, 6), "ce_diff": np.round(target - background, 6)})
-
-
-def _counted(asked: DataFrame) -> DataFrame:
-    return asked.groupBy("key").agg(*[F.sum(c).alias(c) for c in KINDS])
-
-
-def count(rows: DataFrame) -> DataFrame:
-    """The models' table, key and KINDS, from :func:`marked`'s rows."""
-    return _counted(requests(coded(rows)))
+    """Scores of a block's texts from the probabilities of its 4-grams."""
+    known = known.sort_values("key")
+    keys, loss = known["key"].to_numpy(), -np.log(known[[f"p_{m}" for m in MODELS]].to_numpy(np.float64))
+    texts, fold = docs["text"].tolist(), docs["fold"].to_numpy()
+    total, n = np.zeros((len(texts), 2)), np.zeros(len(texts), np.int64)
+    for at, g, sizes in grams(texts):
+        spot = np.searchsorted(keys, g)
+        both = np.zeros((len(g) + 1, 2))
+        both[:-1, 0], both[:-1, 1] = loss[spot, 1 + np.repeat(fold[at], sizes)], loss[spot, 0]
+        sums = np.add.reduceat(both, np.cumsum(sizes) - sizes, axis=0)
+        sums[sizes == 0] = 0
+        np.add.at(total, at, sums)
+        np.add.at(n, at, sizes)
+    ce = total / np.maximum(n, 1)[:, None]
+    return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "n_tokens": n, "target_ce": np.round(ce[:, 0], 6), "background_ce": np.round(ce[:, 1], 6), "ce_diff": np.round(ce[:, 0] - ce[:, 1], 6)})
 
 
 def score(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, target_ce, background_ce and ce_diff of each of :func:`marked`'s rows, by the models of these rows or of other ``counts``."""
-    blocks = coded(rows)
-    asked = requests(blocks)
+    blocks = dealt(rows)
+    wanted = asked(blocks)
     if counts is not None:
-        asked_only = asked.select("key", *[F.lit(0).alias(c) for c in KINDS])
-        counts = counts.select("key", *KINDS).unionByName(asked_only)
-    table = stored(losses(_counted(asked if counts is None else counts)), "lm-losses")
-    answers = asked.select(F.col("block").alias("of"), F.col("at").alias("spot"), "key").join(table, "key").drop("key")
-    documents = blocks.where("fold >= 0").select("block", "doc_id", "fold", "at", "times")
-    added = documents.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(_added, "doc_id string, n_tokens long, target_ce double, background_ce double, ce_diff double")
+        table = counts.select("key", *KINDS).unionByName(wanted.select("key", *[F.lit(0).cast("long").alias(c) for c in KINDS]))
+    else:
+        table = wanted.drop("block")
+    answers = wanted.select(F.col("block").alias("of"), "key").join(probabilities(stored(_summed_by_key(table), "lm-counts")), "key")
+    texts = blocks.where("fold >= 0").select("block", "doc_id", "text", "fold")
+    added = texts.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(_added, "doc_id string, n_tokens long, target_ce double, background_ce double, ce_diff double")
     return added.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
