@@ -741,9 +741,11 @@ def brute_lm(counted, everything, text):
     return np.mean([-math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]) if len(s) > 3 else 0.0
 
 
-@pytest.mark.parametrize("block", [8_000_000, 60])
-def test_lm_scores(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "distinct"), [(32_000_000, 1 << 20), (60, 1 << 20), (32_000_000, 90)])
+def test_lm_scores(spark, monkeypatch, block, distinct):
     monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "DISTINCT", distinct)
+    monkeypatch.setattr(lm_score, "SLICE", 40)
     rng = random.Random(17)
     texts = [words(rng, EN, 15) for _ in range(6)] + [words(rng, DE, 15) for _ in range(4)] + [None, "", " \n", "!?  #9 é\U0001f600 日本 ab_c"]
     texts += [texts[0], texts[7]]

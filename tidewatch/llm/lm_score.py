@@ -21,14 +21,15 @@ the texts add them up.  A task holds a block.
 Edge cases: a null or empty text has no character and scores 0.  A repeated row counts
 again in the models and is scored again; labels with a null id or quality are passed
 over, of several labels of one id the lowest counts.  Without a target row the target
-models are uniform.  A text longer than ``BLOCK`` is a block of its own, worked on in
-parts of ``CHUNK`` characters.  Extra columns change nothing; an empty table gives an
+models are uniform.  A text of any length is in one block, worked on in parts of
+``CHUNK`` characters.  Extra columns change nothing; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ORDER = 4
-BLOCK = 8_000_000
+BLOCK = 32_000_000
+#: A block also ends with so many distinct 4-grams; both are looked at after each SLICE characters.
+DISTINCT, SLICE = 1 << 20, 1 << 21
 CHUNK = 1 << 20
 SPACE = 32
 #: Count columns: of all rows, and of the target rows of either half.
@@ -125,26 +128,32 @@ def _counts(texts: list[str], half: np.ndarray) -> np.ndarray:
     return _summed(found)
 
 
-def _blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """(doc_id, text, target, half) of the rows of each block."""
-    rows, size = [], 0
-    for pdf in pdfs:
-        for row in zip(pdf["doc_id"], pdf["text"], pdf["target"], pdf["half"], strict=True):
-            if rows and size + len(row[1]) > BLOCK:
-                yield rows
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[1])
-    if rows:
-        yield rows
+def _blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Rows (doc_id, text, target, half) of each block, their halves (2: no target), and their table of 4-grams."""
+
+    def half(some: list[tuple]) -> np.ndarray:
+        return np.array([r[3] if r[2] else 2 for r in some], np.int64)
+
+    rows, table, size, fresh, waits = [], np.zeros((4, 0), np.int64), 0, [], 0
+    for pdf in chain(pdfs, [None]):
+        for row in zip(pdf["doc_id"], pdf["text"], pdf["target"], pdf["half"], strict=True) if pdf is not None else [None]:
+            if row is not None:
+                rows.append(row)
+                fresh.append(row)
+                waits += len(row[1])
+                if waits < SLICE:
+                    continue
+            table = _summed([table, _counts([r[1] for r in fresh], half(fresh))])
+            size, fresh, waits = size + waits, [], 0
+            if rows and (row is None or size >= BLOCK or table.shape[1] >= DISTINCT):
+                yield rows, half(rows), table
+                rows, table, size = [], np.zeros((4, 0), np.int64), 0
 
 
 def _dealt(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows with their block and the target model that judges them (2: the whole), and for each block a row with its 4-grams."""
     part = pyspark.TaskContext.get().partitionId()
-    for k, rows in enumerate(_blocks(pdfs)):
-        half = np.array([r[3] if r[2] else 2 for r in rows])
-        table = _counts([r[1] for r in rows], half)
+    for k, (rows, half, table) in enumerate(_blocks(pdfs)):
         gone = [None] * len(rows)
         yield pd.DataFrame(
             {
