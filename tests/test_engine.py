@@ -364,7 +364,7 @@ def test_the_runs_grow_all_trees():
     from tidewatch.plans import nightly
 
     assert nightly.TREES == inspect.signature(walkforward.BoostedTrees).parameters["trees"].default == 300
-    assert inspect.signature(nightly.run).parameters["trees"].default == 300
+    assert inspect.signature(nightly.run).parameters["trees"].default == 300  # a night fits them all
 
 
 @pytest.fixture(scope="module")

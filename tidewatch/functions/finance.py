@@ -59,15 +59,19 @@ def vol_error_sq(realized: Column, forecast: Column) -> Column:
 
 
 def kupiec_lr(n: Column, x: Column, p: Column) -> Column:
-    """Likelihood ratio of x exceptions in n against rate p; 0 ln 0 is 0, and rounding never makes it negative."""
+    """Likelihood ratio of x exceptions in n against rate p; 0 ln 0 is 0, and rounding never makes it negative.
+
+    A row without observations, or with a rate outside (0, 1), is an error.
+    """
     rate = x / n
+    wrong = F.raise_error(F.format_string("no likelihood ratio of %s observations at rate %s", n.cast("string"), p.cast("string"))).cast("double")
 
     def part(count: Column, share: Column) -> Column:
         return F.when(count > 0, count * F.ln(share)).otherwise(F.lit(0.0))
 
     null = part(n - x, 1 - p) + part(x, p)
     other = part(n - x, 1 - rate) + part(x, rate)
-    return F.greatest(F.lit(-2.0) * (null - other), F.lit(0.0))
+    return F.when((n > 0) & (p > 0) & (p < 1), F.greatest(F.lit(-2.0) * (null - other), F.lit(0.0))).otherwise(wrong)
 
 
 def chi2_sf(lr: Column) -> Column:

@@ -65,9 +65,15 @@ def measures(daily: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def coverage_view(table: DataFrame) -> DataFrame:
+    """Chart columns of a coverage table."""
+    return table.withColumn("reject_int", F.col("kupiec_reject").cast("int"))
+
+
 def coverage_measures(coverage: DataFrame, by: list[str]) -> DataFrame:
-    """Lowest p-value (as the highest likelihood ratio) and rejections in a slicer context."""
-    return coverage.groupBy(*by).agg(F.max("kupiec_lr").alias("max_kupiec_lr"), F.count_if("kupiec_reject").alias("kupiec_rejections"))
+    """Lowest p-value (as the highest likelihood ratio, and with :func:`risk.with_p` as itself) and rejections in a slicer context."""
+    p = [F.min("kupiec_p").alias("min_kupiec_p")] if "kupiec_p" in coverage.columns else []
+    return coverage.groupBy(*by).agg(F.max("kupiec_lr").alias("max_kupiec_lr"), *p, F.count_if("kupiec_reject").alias("kupiec_rejections"))
 
 
 def vol_measures(versus: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """GARCH(1,1) by walk-forward maximum likelihood.
 
-Refits are independent of one another, so each (ticker, refit month) is a task of
-its own with the returns up to it; a second pass per ticker picks the effective
+Refits are independent of one another, so the months of a ticker are dealt over SLOTS
+groups, each with one copy of its returns; a second pass per ticker picks the effective
 parameters and steps the recursion.
 """
 
@@ -92,6 +92,16 @@ def fit(r: np.ndarray, rounds: int = 400) -> tuple[float, float, float, float, b
     return (*_unpack(rows[0][2]), done)
 
 
+#: Groups that a ticker's refit months are dealt over.
+SLOTS = 8
+
+
+def month_starts(dates: pd.Series, least: int) -> list[int]:
+    """The first place of each month from place ``least`` on, of dates in order."""
+    months = pd.to_datetime(dates).dt.to_period("M").to_numpy()
+    return [i for i in range(least, len(months)) if i == least or months[i] != months[i - 1]]
+
+
 def _rows(returns: DataFrame) -> DataFrame:
     rows = returns.where("log_return is not null").select("ticker", "trade_date", (100 * F.col("log_return")).alias("r"))
     return rows.withColumn("t", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(whole()))
@@ -99,16 +109,19 @@ def _rows(returns: DataFrame) -> DataFrame:
 
 def refits(returns: DataFrame, min_train: int = MIN_TRAIN, fitter: Fit = fit) -> DataFrame:
     """(ticker, t, mu, omega, alpha, beta, converged, raised) of each refit, t the first forecast row of its month."""
-    rows = _rows(returns)
-    firsts = rows.where(F.col("t") >= min_train).groupBy("ticker", F.trunc("trade_date", "month").alias("month")).agg(F.min("t").alias("refit"))
-    pairs = rows.select("ticker", "t", "r").join(F.broadcast(firsts.select("ticker", "refit")), "ticker").where("t < refit")  # a row for each month of a ticker
+    rows = _rows(returns).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fitter(pdf.sort_values("t")["r"].to_numpy())
-        mu, omega, alpha, beta, ok = got or (None, None, None, None, False)
-        return pd.DataFrame({"ticker": [key[0]], "t": [key[1]], "mu": [mu], "omega": [omega], "alpha": [alpha], "beta": [beta], "converged": [ok], "raised": [got is None]})
-
-    return pairs.groupBy("ticker", "refit").applyInPandas(run, "ticker string, t int, mu double, omega double, alpha double, beta double, converged boolean, raised boolean")
+        pdf = pdf.sort_values("t")
+        r = pdf["r"].to_numpy()
+        out = []
+        for t in month_starts(pdf["trade_date"], min_train)[key[1] :: SLOTS]:
+            got = fitter(r[:t])
+            mu, omega, alpha, beta, ok = got or (None, None, None, None, False)
+            out.append((key[0], t, mu, omega, alpha, beta, ok, got is None))
+        return pd.DataFrame(out, columns=["ticker", "t", "mu", "omega", "alpha", "beta", "converged", "raised"])
+
+    return rows.groupBy("ticker", "slot").applyInPandas(run, "ticker string, t int, mu double, omega double, alpha double, beta double, converged boolean, raised boolean")
 
 
 def effective(refits: DataFrame) -> DataFrame:

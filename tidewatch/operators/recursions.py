@@ -1,9 +1,10 @@
-"""EWMA and GARCH variance recursions, as running sums where they can be.
+"""EWMA and GARCH variance recursions, as running sums.
 
-x[t] = decay * x[t-1] + u[t-1] is decay**t * (x[0] + sum of u[k] * decay**-(k+1)), a
-window sum per ticker.  ``decay ** -n`` must stay in double range, so the closed form
-is for up to :func:`longest` rows of a ticker; :func:`ewma_forecasts` and
-:func:`garch_filter` raise beyond it, and :mod:`.garch` filters row by row.
+x[t] = decay * x[t-1] + u[t-1] is decay**i * (x at the start + sum of u[k] * decay**-(k+1)),
+a window sum over a block of a ticker's rows.  A block has as many rows as keep
+``decay ** -n`` in double range; by its end the block before the last one weighs
+exp(-300), which no double shows beside the last, so that a block starts from the inputs
+of the one before.  Any number of rows goes.
 """
 
 from __future__ import annotations
@@ -27,30 +28,30 @@ def whole():
     return Window.partitionBy("ticker")
 
 
-def past():
-    return by_date().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def longest(decay: float) -> int:
-    return int(650 / -math.log(decay))
+def block_rows(decay: float) -> int:
+    """Rows of a block: the fewest that shrink a start by exp(300)."""
+    return math.ceil(300 / -math.log(decay))
 
 
 def _recursion(t: Column, start: Column, inputs: Column, decay: float) -> Column:
     """x[t] of each row from x[0] = ``start`` and the inputs of the rows before."""
-    total = F.coalesce(F.sum(inputs * F.pow(F.lit(decay), -(t + 1))).over(past()), F.lit(0.0))
-    return F.pow(F.lit(decay), t) * (start + total)
+    rows = block_rows(decay)
+    block, i, d = F.floor(t / rows), t % rows, F.lit(decay)
+    own = Window.partitionBy("ticker", block).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(inputs * F.pow(d, -(i + 1))).over(own), F.lit(0.0))
+    before = Window.partitionBy("ticker").orderBy(block).rangeBetween(-1, -1)
+    carried = F.sum(inputs * F.pow(d, rows - 1 - i)).over(before) + F.when(block == 1, F.pow(d, F.lit(rows)) * start).otherwise(0.0)
+    return F.pow(d, i) * (F.when(block == 0, start).otherwise(carried) + within)
 
 
-def indexed(returns: DataFrame, decay: float) -> DataFrame:
+def indexed(returns: DataFrame) -> DataFrame:
     """Rows with a return, their number ``t`` from 0, and the ticker's row count ``n``."""
     rows = returns.where("log_return is not null").select("ticker", "trade_date", "log_return")
-    rows = rows.withColumn("t", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(whole()))
-    far = F.raise_error(F.format_string("%s has over %d rows", "ticker", F.lit(longest(decay))))
-    return rows.withColumn("t", F.when(F.col("n") > longest(decay), far.cast("int")).otherwise(F.col("t")))
+    return rows.withColumn("t", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(whole()))
 
 
 def _ewma(returns: DataFrame, decay: float) -> DataFrame:
-    rows = indexed(returns, decay).withColumn("r2", F.col("log_return") * F.col("log_return"))
+    rows = indexed(returns).withColumn("r2", F.col("log_return") * F.col("log_return"))
     seed = F.avg(F.when(F.col("t") < SEED_WINDOW, F.col("r2"))).over(whole())
     return rows.withColumn("seed", seed).withColumn("var_forecast", _recursion(F.col("t"), F.col("seed"), (1 - decay) * F.col("r2"), decay))
 
@@ -78,7 +79,7 @@ class GarchParams:
 
 def garch_filter(returns: DataFrame, p: GarchParams) -> DataFrame:
     """The conditional variance of each session under fixed parameters, in percent squared, and ``next_variance``."""
-    rows = indexed(returns, p.beta).withColumn("eps", 100 * F.col("log_return") - p.mu)
+    rows = indexed(returns).withColumn("eps", 100 * F.col("log_return") - p.mu)
     level = p.omega / (1 - p.alpha - p.beta) if p.alpha + p.beta < 1 else None
     rows = rows.withColumn("start", F.lit(level) if level is not None else F.var_pop("eps").over(whole()))
     u = p.omega + p.alpha * F.col("eps") * F.col("eps")

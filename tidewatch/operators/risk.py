@@ -104,9 +104,8 @@ def backtest(forecasts: DataFrame, clean: DataFrame, features: DataFrame) -> Dat
     cal = F.struct(F.concat("model", F.lit(CAL)).alias("model"), (F.col("var_forecast") * F.col("factor")).alias("v"))
     both = rows.select("ticker", "trade_date", "log_return", F.explode(F.when(F.col("model").isin(GK_MODELS), F.array(own, cal)).otherwise(F.array(own))).alias("x"))
     table = coverage(both.select("ticker", "trade_date", "log_return", "x.model", F.col("x.v").alias("var_forecast")))
-    rate = F.avg(F.when((F.col("level") == 95) & F.col("model").isin(GK_MODELS), F.col("breach_rate"))).over(Window.partitionBy(F.lit(1)))  # two rows for each ticker and model
-    table = table.withColumn("_fires", F.coalesce(rate >= TRIGGER_RATE, F.lit(False)))
-    return table.where(F.col("_fires") | ~F.col("model").endswith(CAL)).drop("_fires")
+    fires = F.broadcast(trigger(table))  # one row
+    return table.join(fires, F.col("triggered") | ~F.col("model").endswith(CAL)).drop("triggered")
 
 
 def verdicts(table: DataFrame) -> DataFrame:

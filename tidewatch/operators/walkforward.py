@@ -1,4 +1,4 @@
-"""Walk-forward forecasts of any regressor: one task per (ticker, refit month), which holds that ticker's rows up to the month's end.
+"""Walk-forward forecasts of any regressor: a ticker's refit months are dealt over SLOTS groups, each with one copy of its rows.
 
 Session i is forecast from row i-1; the model of its month is trained on rows up
 to i0-2, i0 the month's first forecast session.  Rows without all features and a
@@ -19,6 +19,7 @@ from tidewatch.functions.finance import VARIANCE_FLOOR
 
 from .cleaning import by_date
 from .features import TARGET
+from .garch import SLOTS, month_starts
 from .recursions import MIN_TRAIN, whole
 
 
@@ -129,29 +130,39 @@ class BoostedTrees:
 
 
 def walk_forward(features: DataFrame, columns: list[str], factory: Callable[[], Regressor], tag: str, target: str = TARGET, min_train: int = MIN_TRAIN) -> DataFrame:
-    """(ticker, trade_date, model, var_forecast, floored, is_live, skipped); a live row has the last date of its ticker, a skipped one no forecast."""
+    """(ticker, trade_date, model, var_forecast, floored, is_live, skipped, refit, dropped); a live row has the last date of its ticker, a skipped one no forecast.
+
+    ``refit`` marks the first row of a fitted model, ``dropped`` counts the training rows that its target left out.
+    """
     rows = features.select("ticker", "trade_date", *columns, F.col(target).alias("_y"))
     rows = rows.withColumn("t", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(whole())).where(F.col("n") > min_train)
-    months = rows.where(F.col("t") >= min_train).groupBy("ticker", F.trunc("trade_date", "month").alias("month")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("n").alias("n"))
-    pairs = rows.drop("n").join(F.broadcast(months.select("ticker", "t0", "t1", "n")), "ticker").where("t <= t1")  # a row for each month of a ticker
+    dealt = rows.drop("n").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
-        t0, t1, n = (int(pdf[c].iloc[0]) for c in ("t0", "t1", "n"))
-        x, y = pdf[columns].to_numpy(float), pdf["_y"].to_numpy(float)
+        x, y, n = pdf[columns].to_numpy(float), pdf["_y"].to_numpy(float), len(pdf)
         whole = ~np.isnan(x).any(1)
-        train = whole[: t0 - 1] & ~np.isnan(y[: t0 - 1])
-        model = factory()
-        model.fit(x[: t0 - 1][train], y[: t0 - 1][train])
-        from_rows = list(range(t0 - 1, t1)) + ([n - 1] if t1 == n - 1 else [])
+        starts = [*month_starts(pdf["trade_date"], min_train), n]
         out = []
-        for i in from_rows:
-            is_live = i == n - 1
-            v = float(model.predict(x[i : i + 1])[0]) if whole[i] else None
-            out.append((key[0], pdf["trade_date"][i if is_live else i + 1], tag, None if v is None else max(v, VARIANCE_FLOOR), v is not None and v < VARIANCE_FLOOR, is_live, v is None))
-        return pd.DataFrame(out, columns=["ticker", "trade_date", "model", "var_forecast", "floored", "is_live", "skipped"])
-
-    return pairs.groupBy("ticker", "t0").applyInPandas(run, "ticker string, trade_date date, model string, var_forecast double, floored boolean, is_live boolean, skipped boolean")
+        for t0, t1 in list(zip(starts, starts[1:], strict=False))[key[1] :: SLOTS]:
+            train = whole[: t0 - 1] & ~np.isnan(y[: t0 - 1])
+            model = factory()
+            model.fit(x[: t0 - 1][train], y[: t0 - 1][train])
+            for i in [*range(t0 - 1, t1 - 1), *([n - 1] if t1 == n else [])]:
+                is_live = i == n - 1
+                v = float(model.predict(x[i : i + 1])[0]) if whole[i] else None
+                out.append((key[0], pdf["trade_date"][i if is_live else i + 1], tag, None if v is None else max(v, VARIANCE_FLOOR), v is not None and v < VARIANCE_FLOOR, is_live, v is None, i == t0 - 1, getattr(model, "dropped", 0)))
+        return pd.DataFrame(out, columns=["ticker", "trade_date", "model", "var_forecast", "floored", "is_live", "skipped", "refit", "dropped"])
+
+    return dealt.groupBy("ticker", "slot").applyInPandas(run, "ticker string, trade_date date, model string, var_forecast double, floored boolean, is_live boolean, skipped boolean, refit boolean, dropped int")
+
+
+def result_records(rows: DataFrame) -> DataFrame:
+    """By ticker and model, of :func:`walk_forward`'s rows: forecasts, refits, floored, skipped, most training rows dropped by a fit, and live forecasts."""
+    return rows.groupBy("ticker", "model").agg(
+        F.count_if(~F.col("is_live") & ~F.col("skipped")).alias("n_forecasts"), F.count_if("refit").alias("n_refits"), F.count_if("floored").alias("n_floored"), F.count_if("skipped").alias("n_skipped"),
+        F.max("dropped").cast("long").alias("n_dropped"), F.count_if(F.col("is_live") & ~F.col("skipped")).alias("n_live"),
+    )
 
 
 def boosted_factory(**options: float) -> Callable[[], Regressor]:

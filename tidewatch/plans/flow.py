@@ -50,14 +50,19 @@ class Flow:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.build(self.clean)
+        rows = features.build(self.clean)
+        return stage(rows, "features") if self.staged else rows
 
     @cached_property
     def next_session(self) -> DataFrame:
-        """Per ticker the session after its last clean bar."""
-        last = self.clean.groupBy("ticker").agg(F.max("trade_date").alias("last_date"))
-        after = self.calendar.select("session_date")
-        near = last.join(F.broadcast(after), F.col("session_date").between(F.date_add("last_date", 1), F.date_add("last_date", 14)))
+        return self.after_last(self.clean, self.calendar)
+
+    @staticmethod
+    def after_last(clean: DataFrame, calendar: DataFrame) -> DataFrame:
+        """(ticker, last_date, trade_date): per ticker the session after its last clean bar."""
+        last = clean.groupBy("ticker").agg(F.max("trade_date").alias("last_date"))
+        days = last.select("ticker", "last_date", F.explode(F.sequence(F.date_add("last_date", 1), F.date_add("last_date", 14))).alias("session_date"))
+        near = days.join(F.broadcast(calendar.select("session_date")), "session_date", "left_semi")
         return near.groupBy("ticker", "last_date").agg(F.min("session_date").alias("trade_date"))
 
     @cached_property

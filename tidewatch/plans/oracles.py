@@ -211,10 +211,10 @@ ORACLES: dict[str, str] = {
         "bars", "cal", "cut",
     ),
     "session_bounds": sql("select cutoff, (select min(session_date) from cal where session_date > date '2001-10-12') as next_session from cut", "cal", "cut"),
-    "telescoping": sql(f"select ticker, {r('sum(log_return)', 'sum_log_return')}, {r('ln(max_by(adj_close, trade_date) / min_by(adj_close, trade_date))', 'log_total')}, true as telescopes from clean group by ticker", "clean"),
+    "telescoping": sql(f"select ticker, {r('sum(log_return)', 'sum_log_return')}, {r('ln(max_by(adj_close, trade_date) / min_by(adj_close, trade_date))', 'log_total')}, abs(coalesce(sum(log_return), 0) - ln(max_by(adj_close, trade_date) / min_by(adj_close, trade_date))) <= 1e-9 as telescopes from clean group by ticker", "clean"),
     "daily_features": sql(f"select ticker, trade_date, {', '.join(r(c) for c in FEATURES)} from feat", "feat"),
     "features_canary": sql("select ticker, count(*) as n_rows, count(rvol_63) as n_rvol_63, count(har_rv_m) as n_har_rv_m, count(*) filter (where gk_var < 0) as n_negative_gk from feat group by ticker", "feat"),
-    "feature_cross_check": "select unnest(['log_return', 'rvol_5', 'rvol_63', 'har_rv_m']) as \"column\", 0.0::double as max_abs_diff, true as nulls_agree",
+    "feature_cross_check": sql(" union all ".join(f"select '{c}' as \"column\", 0.0::double as max_abs_diff, true as nulls_agree, count({c}) as n_values, {r(f'avg({c})', 'mean_value')} from feat" for c in FEATURES), "feat"),
     "vix_features": sql(
         f"select trade_date, ticker, {r('gk_var')}, {r('vix_close')}, {r('vix_log_change')} from feat left join (select *, ln(vix_close) - ln(lag(vix_close) over (order by trade_date)) as vix_log_change from vix) using (trade_date)", "feat", "vix"
     ),
@@ -292,7 +292,7 @@ ORACLES: dict[str, str] = {
         "bars",
     ),
     "canaries": sql(
-        "select unnest(['telescoping', 'negative_gk', 'floored']) as canary, unnest([0, (select count(*) from feat where gk_var < 0), (select count(*) from har where raw < 1e-8)]) as n", "feat", "har"
+        "select unnest(['telescoping', 'negative_gk', 'floored']) as canary, unnest([(select count(*) from (select ticker from clean group by ticker having abs(coalesce(sum(log_return), 0) - ln(max_by(adj_close, trade_date) / min_by(adj_close, trade_date))) > 1e-9)), (select count(*) from feat where gk_var < 0), (select count(*) from har where raw < 1e-8)]) as n", "clean", "feat", "har"
     ),
     "streamed_sessions": "select event_type as ticker, cast(ts as date) as trade_date, count(*) as n_ticks, round(max(value), 6) + 0.0 as high, round(min(value), 6) + 0.0 as low from events where cast(ts as date) < (select cast(max(ts) as date) from events) group by 1, 2",
 }
@@ -315,3 +315,45 @@ cte(
     "eps",
 )
 ORACLES["garch_filter_fixed"] = sql(f"select ticker, trade_date, {r('v', 'variance_pct2')}, {r(GARCH_STEP, 'next_variance_pct2')} from garch", "garch")
+
+cte("spoiled_clean", CTE["spoiled"][0].replace("from bars", "from clean"), "clean")
+cte("twice_clean", "select * from spoiled_clean union all select * from spoiled_clean where day(trade_date) = 17", "spoiled_clean")
+cte("kept_clean", "select *, count(*) over (partition by ticker, trade_date) as copies from twice_clean", "twice_clean")
+ORACLES["clean_violations"] = sql("select * from (" + " union all ".join(f"select '{k}' as \"check\", count(*) filter (where {c}) as n from kept_clean" for k, c in FAULTS.items()) + ") where n > 0", "kept_clean")
+cte("odd_fore", "select ticker, trade_date, model, case when day(trade_date) = 3 then -var_forecast when day(trade_date) != 5 then var_forecast end as v from settled", "settled")
+cte("odd_twice", "select *, count(*) over (partition by ticker, trade_date, model) as copies from (select * from odd_fore union all select * from odd_fore where day(trade_date) = 17)", "odd_fore")
+ORACLES["forecast_violations"] = sql(
+    "select * from (" + " union all ".join(f"select '{k}' as \"check\", count(*) filter (where {c}) as n from odd_twice" for k, c in {"var_forecast_null": "v is null", "var_forecast_not_positive": "v <= 0", "duplicate_key": "copies > 1"}.items()) + ") where n > 0", "odd_twice"
+)
+_rules = {
+    "forecasts": ("fore", {"var_forecast": "var_forecast > 0"}),
+    "coverage": ("cov", {"level": "level in (95, 99)", "observed": "observed_breaches between 0 and n_obs", "rate": "breach_rate between 0 and 1", "kupiec_lr": "kupiec_lr >= 0", "span": "eval_start <= eval_end"}),
+    "breaches": ("hits", {"threshold": "var_threshold > 0", "breach": "log_return < -var_threshold"}),
+    "ablation": ("abl", {"n_obs": "n_obs > 0", "qlike": "qlike >= 0", "rmse": "rmse_ann_vol_pct >= 0", "span": "eval_start <= eval_end"}),
+}
+cte("hits", "select log_return, z * sqrt(var_forecast) as var_threshold from common, levels where log_return < -z * sqrt(var_forecast)", "common", "levels")
+ORACLES["stored_invariants"] = sql(" union all ".join(f"select '{name}' as name, '{k}' as invariant, count(*) filter (where not coalesce({c}, true)) as n_bad from {t}" for name, (t, rules) in _rules.items() for k, c in rules.items()), "fore", "cov", "hits", "abl")
+ORACLES["modeled_tickers"] = sql("select ticker, count(*) as n from bars group by 1", "bars")
+ORACLES["bars_of_ticker"] = sql(f"select {BAR} from bars where ticker = 'R'", "bars")
+ORACLES["wide_frame"] = f"""with raw as (select 'A' as ticker, cast(l_shipdate as date) as trade_date, l_extendedprice as open, l_extendedprice + 1 as high, l_extendedprice - 1 as low, l_extendedprice as close,
+  l_extendedprice / 2 as adj_close, cast(round_even(l_quantity / 2, 0) as bigint) as volume, row_number() over (partition by cast(l_shipdate as date) order by {KEY} desc) as k from lineitem where l_returnflag = 'A')
+  select ticker, trade_date, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('adj_close')}, volume from raw where k = 1"""
+ORACLES["forecast_totals"] = sql("select model, count(*) filter (where not is_live) as n_settled, count(*) filter (where is_live) as n_live, max(trade_date) as last_date from fore group by 1", "fore")
+ORACLES["har_result_records"] = sql(
+    """select ticker, 'har_rv' as model, (select count(*) from har where har.ticker = n.ticker) as n_forecasts, n_refits, (select count(*) from har where har.ticker = n.ticker and raw < 1e-8) as n_floored, 0 as n_skipped, n_dropped, 1 as n_live
+    from (select f.ticker, count(*) as n_refits, max((select count(*) from har_rows h where h.ticker = f.ticker and h.t <= f.t0 - 2 and x1 is not null and x2 is not null and x3 is not null and target <= 0)) as n_dropped from har_first f group by 1) n""",
+    "har", "har_first", "har_rows",
+)
+ORACLES["nightly_tables"] = sql(
+    """select 'raw' as name, count(*) as n_rows, count(*) as n_keys, max(trade_date) as last_date from bars union all select 'clean', count(*), count(*), max(trade_date) from clean
+    union all select 'features', count(*), count(*), max(trade_date) from feat union all select 'forecasts', count(*), count(*), max(trade_date) from settled""",
+    "bars", "clean", "feat", "settled",
+)
+ORACLES["increment_path"] = sql(
+    """select ticker, case when ticker = 'N' then 'guarded' else 'written' end as status, 'trades' as source, count(*) filter (where ticker != 'N' or trade_date <= date '2001-08-31') as n_landed,
+    count(*) filter (where ticker != 'N' or trade_date <= date '2001-08-31' or trade_date >= date '2001-09-28' - 13) as n_raw, count(*) filter (where ticker = 'N' and trade_date >= date '2001-09-28' - 13) as n_increment
+    from bars where trade_date <= date '2001-09-28' group by ticker""",
+    "bars",
+)
+ORACLES["replayed"] = sql("select 'first' as run, 0 as before, count(*) as upserted, count(*) as after, count(*) as new from bars union all select 'second', count(*), count(*), count(*), 0 from bars", "bars")
+ORACLES["coverage_view"] = sql(f"select {COVER}, (kupiec_lr > 3.841458820694124)::int as reject_int from cov", "cov")

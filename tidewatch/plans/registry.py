@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import audit, cleaning, dashboard, evaluate, features, garch, har, recursions, risk, validation, walkforward
-from tidewatch.sources import market, storage
+from tidewatch.sources import ingest, market, storage
 from tidewatch.streaming import streams
 
 from . import nightly
@@ -67,6 +69,108 @@ def validation_violations(f: Flow) -> DataFrame:
     return found.groupBy("check").agg(F.count("*").alias("n"))
 
 
+@query
+def clean_violations(f: Flow) -> DataFrame:
+    """Faults of clean bars whose log returns are there; the rules are those of raw bars."""
+    bad = _with_faults(f.clean.drop("log_return")).withColumn("log_return", F.lit(0.0))
+    return validation.violations(bad, validation.bar_checks(), ["ticker", "trade_date"]).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@branched
+def forecast_violations(f: Flow) -> DataFrame:
+    day = F.dayofmonth("trade_date")
+    rows = f.settled.select("ticker", "trade_date", "model", F.when(day == 3, -F.col("var_forecast")).when(day != 5, F.col("var_forecast")).alias("var_forecast"))
+    twice = rows.unionByName(rows.where(day == 17))
+    return validation.violations(twice, validation.forecast_checks(), ["ticker", "trade_date", "model"]).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@branched
+def stored_invariants(f: Flow) -> DataFrame:
+    """Constraints of the forecast, coverage, breach and ablation tables."""
+    rows = risk.common_returns(f.forecasts, f.clean)
+    parts = {"forecasts": f.forecasts, "coverage": risk.coverage(rows), "breaches": risk.breaches(rows), "ablation": evaluate.ablation(f.forecasts, f.features)}
+    out = None
+    for name, df in parts.items():
+        part = validation.invariants(df, name).withColumn("name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def modeled_tickers(f: Flow) -> DataFrame:
+    """Bars by ticker with the index among them, of which models are fitted for all others."""
+    both = f.raw.unionByName(f.raw.where("ticker = 'R'").withColumn("ticker", F.lit("^VIX")))
+    return market.modeled(both).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@query
+def bars_of_ticker(f: Flow) -> DataFrame:
+    return market.of_ticker(f.raw, "R")
+
+
+@query
+def wide_frame(f: Flow) -> DataFrame:
+    """A provider's wide frame of single trades of all days, of which the last of a day counts."""
+    t = market.table(f.spark, f.sf_dir, "lineitem").where("l_returnflag = 'A'")
+    price = F.col("l_extendedprice")
+    raw = t.select(
+        F.to_date("l_shipdate").alias("Date"), price.alias("Open"), (price + 1).alias("High"), (price - 1).alias("Low"), price.alias("Close"), (price / 2).alias("Adj Close"), (F.col("l_quantity") / 2).alias("Volume"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ingest_pos"),
+    )
+    return market.normalize_wide(raw, "A")
+
+
+@branched
+def forecast_totals(f: Flow) -> DataFrame:
+    return nightly.totals(f.forecasts)
+
+
+@branched
+def har_result_records(f: Flow) -> DataFrame:
+    return walkforward.result_records(walkforward.walk_forward(f.features, features.HAR_COLUMNS, walkforward.har_factory, har.HAR_TAG))
+
+
+@query
+def nightly_tables(f: Flow) -> DataFrame:
+    """Stored tables after two nights with EWMA, GARCH and HAR, the second with an overlapping batch."""
+    return nightly.tables(nightly.two_nights(f.spark, f.sf_dir, boosted=()))
+
+
+class _Tables:
+    """A provider over the trades' bars; of a ticker in ``short`` it serves the last days only."""
+
+    name = "trades"
+
+    def __init__(self, bars: DataFrame, short: tuple[str, ...] = ()) -> None:
+        self.bars, self.short = bars, short
+
+    def fetch(self, ticker: str, start: str, end: str) -> DataFrame:
+        first = max(start, "2001-01-01") if ticker in self.short else start
+        return self.bars.where((F.col("ticker") == ticker) & F.col("trade_date").between(F.lit(first).cast("date"), F.lit(end).cast("date")))
+
+
+@query
+def increment_path(f: Flow) -> DataFrame:
+    """Two intakes, the second with a truncated ticker: what is landed, raw and an increment of each ticker."""
+    store, tickers = storage.Store(f.spark, f"{storage.shared_folder(f.spark)}/tidewatch-intake-{uuid.uuid4().hex}"), ("A", "N", "R")
+    for end, short in (("2001-08-31", ()), ("2001-09-28", ("N",))):
+        result = ingest.fetch_and_load(store, ingest.default_provider(_Tables(f.raw, short)), tickers, "1995-01-01", end)
+    count = lambda df, name: df.groupBy("ticker").agg(F.count("*").alias(name))
+    increments = f.spark.read.parquet(f"{store.folder}/increments")
+    out = result.select("ticker", "status", "source").join(count(store.read("landing"), "n_landed"), "ticker").join(count(store.read("raw"), "n_raw"), "ticker")
+    return out.join(count(increments, "n_increment"), "ticker", "left").na.fill(0, ["n_increment"])
+
+
+@query
+def replayed(f: Flow) -> DataFrame:
+    """A folder of landed files replayed into an empty raw table, and again."""
+    folder = f"{storage.shared_folder(f.spark)}/tidewatch-replay-{uuid.uuid4().hex}"
+    f.raw.repartition(3).write.parquet(f"{folder}/files")
+    store = storage.Store(f.spark, f"{folder}/store")
+    rows = [("first", *ingest.replay(store, f"{folder}/files").values()), ("second", *ingest.replay(store, f"{folder}/files").values())]
+    return f.spark.createDataFrame(rows, "run string, before long, upserted long, after long, new long")
+
+
 @query
 def feature_invariants(f: Flow) -> DataFrame:
     return validation.invariants(f.features, "features")
@@ -142,9 +246,8 @@ def features_canary(f: Flow) -> DataFrame:
 
 @branched
 def feature_cross_check(f: Flow) -> DataFrame:
-    """Features against the same built from bars dealt out otherwise."""
-    again = features.build(f.clean.repartition("trade_date"))
-    return features.cross_check(f.features, again, ["log_return", "rvol_5", "rvol_63", "har_rv_m"])
+    """Features by windows against the same by equi-joins on row numbers."""
+    return features.cross_check(f.features, features.by_joins(f.clean), [c for c in f.features.columns if c not in ("ticker", "trade_date")])
 
 
 @query
@@ -201,13 +304,13 @@ def har_walk_forward(f: Flow) -> DataFrame:
 
 @branched
 def boosted_forecasts(f: Flow) -> DataFrame:
-    return walkforward.walk_forward(f.features, features.TREE_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm")
+    return walkforward.walk_forward(f.features, features.TREE_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm").drop("refit", "dropped")
 
 
 @branched
 def boosted_vix_forecasts(f: Flow) -> DataFrame:
     rows = features.with_vix(f.features, f.vix)
-    return walkforward.walk_forward(rows, features.TREE_COLUMNS + features.VIX_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm_vix")
+    return walkforward.walk_forward(rows, features.TREE_COLUMNS + features.VIX_COLUMNS, walkforward.boosted_factory(trees=nightly.TREES), "lgbm_vix").drop("refit", "dropped")
 
 
 @reporting
@@ -301,6 +404,11 @@ def dashboard_measures(f: Flow) -> DataFrame:
     return dashboard.measures(dashboard.var_daily(f.forecasts, f.clean), ["ticker", "model"])
 
 
+@reporting
+def coverage_view(f: Flow) -> DataFrame:
+    return dashboard.coverage_view(risk.coverage(risk.common_returns(f.forecasts, f.clean)))
+
+
 @reporting
 def coverage_measures(f: Flow) -> DataFrame:
     return dashboard.coverage_measures(risk.coverage(risk.common_returns(f.forecasts, f.clean)), ["model"])
@@ -343,6 +451,13 @@ def canaries(f: Flow) -> DataFrame:
     return nightly.canaries(f.clean, f.features, har.forecasts(f.features))
 
 
+@branched
+def garch_canaries(f: Flow) -> DataFrame:
+    """All five, with the GARCH parameters and HAR by walk-forward."""
+    walked = walkforward.walk_forward(f.features, features.HAR_COLUMNS, walkforward.har_factory, har.HAR_TAG)
+    return nightly.canaries(f.clean, f.features, har.forecasts(f.features), garch.effective(garch.refits(f.clean)), [walked])
+
+
 @query
 def streamed_sessions(f: Flow) -> DataFrame:
     return streams.completed_sessions(f.spark, f.sf_dir)

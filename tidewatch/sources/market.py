@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,20 @@ def normalize_adjusted(df: DataFrame, ticker: str, position: str = "ingest_pos")
     return _bars(df, F.lit(ticker), names, position)
 
 
+# Tickers that are inputs of models and have none of their own.
+NON_MODELED = ("^VIX",)
+
+
+def modeled(df: DataFrame, tickers: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the tickers that models are fitted for: the given ones, or all but NON_MODELED."""
+    return df.where(F.col("ticker").isin(*tickers)) if tickers else df.where(~F.col("ticker").isin(*NON_MODELED))
+
+
+def of_ticker(df: DataFrame, ticker: str) -> DataFrame:
+    """Rows of one ticker, by a bound parameter."""
+    return df.sparkSession.sql("select * from {rows} where ticker = :ticker", args={"ticker": ticker}, rows=df)
+
+
 # Index symbols of the second provider.
 INDEX_SYMBOLS = {"^GSPC": "^spx", "^VIX": "^vix"}
 
@@ -156,15 +173,18 @@ def first_source(frames: dict[str, DataFrame]) -> DataFrame:
     return rows.join(best, ["ticker", "_rank"]).drop("_rank")
 
 
-def is_certificate_error(error: BaseException | None) -> bool:
-    """Whether an exception, or what caused it, speaks of certificates."""
-    seen: set[int] = set()
-    while error is not None and id(error) not in seen:
-        seen.add(id(error))
-        if any(word in f"{type(error).__name__} {error}".lower() for word in ("certificate", "ssl")):
-            return True
+def chain(error: BaseException | None) -> Iterator[BaseException]:
+    """An exception and what lies behind it, each once."""
+    seen: list[BaseException] = []
+    while error is not None and not any(error is e for e in seen):
+        yield error
+        seen.append(error)
         error = error.__cause__ or error.__context__
-    return False
+
+
+def is_certificate_error(error: BaseException | None) -> bool:
+    """Whether an exception, or what lies behind it, speaks of certificates."""
+    return any(re.search("certificate|ssl", f"{type(e).__name__} {e}", re.IGNORECASE) for e in chain(error))
 
 
 def with_retries(fetch, waits: tuple[float, ...] = (2.0, 5.0), sleep=None):

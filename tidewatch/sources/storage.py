@@ -1,8 +1,4 @@
-"""Keyed tables on Parquet: upsert, guarded landing, increments, schema versions.
-
-A plan never overwrites what it reads: new content goes to a fresh version folder,
-and a one-row pointer then names that version.
-"""
+"""Keyed tables on Parquet: upsert, guarded landing, increments, schema versions."""
 
 from __future__ import annotations
 
@@ -10,7 +6,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,58 +31,117 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The lineage is cut, the file sizes tell the planner what is small, and a lost executor costs nothing.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatch-stage-")
-    path = f"{folder}/tidewatch-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; on one machine, and there only, one of ours where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+        found = _OWN[0]
+    return found
+
+
 class Store:
-    """Tables under a folder, each with numbered versions and a pointer to the current one."""
+    """Tables under a folder, as Parquet parts by month, ticker or whole, named by a manifest.
+
+    A write goes to a new version folder and touches only the parts that its rows fall
+    into; then one appended manifest row names the parts of the table, so that a reader
+    sees all of a write or nothing.  Within a part rows are sorted, for skipping by
+    statistics, and dealt over ``FILES`` tasks by ticker.
+    """
+
+    FILES = 8
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _pointer(self, name: str) -> int:
+    def _manifest(self, name: str) -> tuple[int, dict[str, str]]:
+        """The newest version and the folder of each part."""
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema("version long").json(f"{self.folder}/{name}/_current").agg(F.max("version")).first()[0] or 0
+            rows = self.spark.read.schema("version long, parts map<string,string>").json(f"{self.folder}/{name}/_manifest")
+            found = rows.orderBy(F.desc("version")).first()
         except AnalysisException:
-            return 0
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{self._pointer(name)}")
+            found = None
+        return (found["version"], dict(found["parts"] or {})) if found else (0, {})
 
     def exists(self, name: str) -> bool:
-        return self._pointer(name) > 0
+        return self._manifest(name)[0] > 0
+
+    def _opened(self, name: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.folder}/{name}/{f}" for f in folders])
+
+    def read(self, name: str) -> DataFrame:
+        return self._opened(name, sorted(self._manifest(name)[1].values()))
+
+    def count(self, name: str) -> int:
+        return self.read(name).count() if self.exists(name) else 0
+
+    def _commit(self, name: str, rows: DataFrame, part: Column, written: set[str], stays: dict[str, str], version: int) -> None:
+        """Writes ``rows``, whose values of ``part`` are ``written``, as a version; with what ``stays`` it is the table."""
+        order = [c for c in ("model", "ticker", "trade_date") if c in rows.columns]
+        dealt = [F.pmod(F.xxhash64("ticker"), F.lit(self.FILES))] if "ticker" in rows.columns else []
+        path, parts = f"v{version}", dict(stays)
+        if written:
+            out = rows.withColumn("_part", part).repartition("_part", *dealt).sortWithinPartitions("_part", *order)
+            out.write.mode("overwrite").partitionBy("_part").parquet(f"{self.folder}/{name}/{path}")
+            parts |= {k: f"{path}/_part={k}" for k in written}
+        elif not parts:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{path}/empty")
+            parts = {"empty": f"{path}/empty"}
+        if len(parts) > 1:
+            parts.pop("empty", None)
+        row = self.spark.createDataFrame([(version, parts)], "version long, parts map<string,string>")
+        row.coalesce(1).write.mode("append").json(f"{self.folder}/{name}/_manifest")
+
+    @staticmethod
+    def _by_month(df: DataFrame) -> Column:
+        return F.coalesce(F.date_format("trade_date", "yyyy-MM"), F.lit("none")) if "trade_date" in df.columns else F.lit("all")
 
     def replace(self, name: str, df: DataFrame) -> int:
         """Whole new content; the row count."""
-        version = self._pointer(name) + 1
-        path = f"{self.folder}/{name}/v{version}"
-        df.write.mode("overwrite").parquet(path)
-        self.spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{self.folder}/{name}/_current")
-        return self.spark.read.parquet(path).count()
+        df, month = stage(df, "replace"), self._by_month(df)
+        self._commit(name, df, month, {r[0] for r in df.select(month).distinct().collect()}, {}, self._manifest(name)[0] + 1)
+        return df.count()
 
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> int:
-        """:func:`merge` into the table, loaded_at renewed; the number of new keys."""
-        df = df.withColumn("loaded_at", F.current_timestamp())
-        if not self.exists(name):
-            return self.replace(name, df.dropDuplicates(keys))
-        old = self.read(name)
-        n = old.count()
-        return self.replace(name, merge(old, df, keys)) - n
+        """:func:`merge` into the months that ``df`` falls into, loaded_at renewed; the number of new keys."""
+        df = stage(df.withColumn("loaded_at", F.current_timestamp()), "upsert")
+        version, parts = self._manifest(name)
+        month = self._by_month(df)
+        touched = {r[0] for r in df.select(month).distinct().collect()}  # months of a batch
+        old = [f for k, f in parts.items() if k in touched]
+        rows = df.dropDuplicates(keys)
+        if old:
+            rows = stage(merge(self._opened(name, old), rows, keys), "merged")
+        before = self._opened(name, old).count() if old else 0
+        self._commit(name, rows, month, touched, {k: f for k, f in parts.items() if k not in touched}, version + 1)
+        return rows.count() - before
 
     def land(self, bars: DataFrame, force: bool = False) -> DataFrame:
         """Whole-ticker landing of ``bars`` behind the guard; the results by ticker. Validation comes after landing."""
-        old = self.read("landing") if self.exists("landing") else bars.limit(0)
-        result = guard(old, bars, force)
-        taken = bars.join(result.where("status = 'written'").select("ticker"), "ticker", "left_semi")
-        rest = old.join(result.where("status = 'written'").select("ticker"), "ticker", "left_anti")
-        done = result.collect()  # a row for each ticker of the batch
-        self.replace("landing", rest.select(*bars.columns).unionByName(taken))
-        return self.spark.createDataFrame(done, result.schema)
+        bars = stage(bars, "landing")
+        version, parts = self._manifest("landing")
+        old = self.read("landing") if version else bars.limit(0)
+        done = guard(old, bars, force).collect()  # a row for each ticker of the batch
+        taken = [r["ticker"] for r in done if r["status"] == "written"]
+        result = self.spark.createDataFrame(done, "ticker string, n_old long, n_new long, status string")
+        if taken:
+            rows = bars.join(F.broadcast(result.where("status = 'written'").select("ticker")), "ticker", "left_semi").select(*bars.columns)
+            gone = {"t" + t.encode().hex().upper() for t in taken}
+            self._commit("landing", rows, F.concat(F.lit("t"), F.hex("ticker")), gone, {k: f for k, f in parts.items() if k not in gone}, version + 1)
+        return result
 
     def increment(self, bars: DataFrame, load_date: str) -> None:
         """A dated increment, its day's former content replaced."""

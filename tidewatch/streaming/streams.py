@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.finance import DECAY
-from tidewatch.sources.storage import Store
+from tidewatch.sources import ingest, market
+from tidewatch.sources.storage import Store, shared_folder
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    """A folder for a stream's state: under the shared folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{what}-{next(tempfile._get_candidate_names())}" if shared else "file://" + tempfile.mkdtemp(prefix=what)
+    """A folder for a stream's state, under the shared one."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def ticks(spark: SparkSession, path: str, pattern: str = "events.parquet") -> DataFrame:
@@ -50,6 +50,32 @@ def upsert_stream(bars: DataFrame, store: Store, name: str, state: str):
     return bars.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def increments_stream(spark: SparkSession, folder: str, store: Store, state: str, source: str = "increment"):
+    """Dated increments merged into raw as they appear: each file once, whole, by key; a later load date wins."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in market.CANONICAL) + ", load_date date"
+    rows = spark.readStream.schema(schema).parquet(folder)
+
+    def put(batch: DataFrame, _: int) -> None:
+        ingest.load_raw(store, market.keep_last(batch, "load_date"), source, "increment")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def corrected_sessions(rows: DataFrame, store: Store, name: str, state: str, lateness: str = "13 days"):
+    """Daily bars of a tick stream with late corrections: a day's bar is sent again whenever a tick comes within ``lateness``, and replaces the former one.
+
+    13 days are those of a re-fetch of the last five sessions; a later tick is dropped by the watermark.
+    """
+    day = F.window("ts", "1 day")
+    bars = rows.withWatermark("ts", lateness).groupBy(day.alias("day"), "ticker").agg(F.count("*").alias("n_ticks"), F.max("value").alias("high"), F.min("value").alias("low"))
+    bars = bars.select("ticker", F.to_date("day.start").alias("trade_date"), "n_ticks", "high", "low")
+
+    def put(batch: DataFrame, _: int) -> None:
+        store.upsert(name, batch, ["ticker", "trade_date"])
+
+    return bars.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def ewma_stream(returns: DataFrame, decay: float = DECAY) -> DataFrame:
     """(ticker, trade_date, var_forecast): the EWMA recursion over a stream of (ticker, trade_date, log_return), one number of state a ticker.
 
