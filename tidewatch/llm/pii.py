@@ -6,7 +6,7 @@ on by four labelers: regex shape, gazetteer cues in the words before, context of
 the neighbouring characters, and the check digit.  Each votes yes, no or abstains.
 The counts of the vote patterns over all texts are a small table (at most 81
 patterns times the feature classes); expectation-maximisation on it estimates the
-reliability of each labeler where it doesn't abstain and the posterior of each pattern,
+reliability of each labeler, of its votes alone, and the posterior of each pattern,
 and a logistic regression of those posteriors on votes and shape features is the span
 classifier.  The spans it adds are of the kinds ``number``, ``address`` and ``name``.
 
@@ -112,35 +112,33 @@ FEATURES = {**dict.fromkeys(LABELERS, 3), "shape": 3, "width": 6, "parts": 2}
 
 @dataclass
 class Classifier:
-    """Log-odds by feature value; ``reliability`` has P(vote | class) of each labeler among its votes."""
+    """Log-odds by feature value; ``reliability`` has the share of each labeler's votes that are right."""
 
     intercept: float
     weights: dict[str, list[float]]
-    reliability: dict[str, list[list[float]]]
+    reliability: dict[str, float]
 
 
-def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, list[list[list[float]]]]:
-    """Posterior of each vote pattern and P(vote | class) of each labeler among its votes, by expectation-maximisation.
+def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60, prior: tuple[float, float] = (9.0, 1.0)) -> tuple[np.ndarray, list[float]]:
+    """Posterior of each vote pattern and how often each labeler's votes are right, by expectation-maximisation.
 
-    An abstention says nothing in either step.
+    A labeler is right as often on either class, so that one which only ever says yes is
+    still evidence; ``prior`` counts as votes that were right and wrong.  Either class is
+    as likely before the votes, for most labelers speak on one only.  An abstention says
+    nothing in either step.
     """
     yes, no = (votes == YES).sum(1), (votes == NO).sum(1)
-    q = (yes + 0.5) / (yes + no + 1.0)
-    q = 0.1 + 0.8 * q
-    table: list[list[list[float]]] = []
+    q = 0.1 + 0.8 * (yes + 0.5) / (yes + no + 1.0)
+    right = [0.0] * votes.shape[1]
     for _ in range(rounds):
-        table = []
-        prior = ((q * n).sum() + 1) / (n.sum() + 2)
-        log = np.full(len(q), math.log(prior / (1 - prior)))
+        log = np.zeros(len(q))
         for j in range(votes.shape[1]):
-            p = np.array([[0.0] + [(n * w * (votes[:, j] == v)).sum() + 1 for v in (NO, YES)] for w in (1 - q, q)])
-            p /= p.sum(1, keepdims=True)
-            table.append(p.tolist())
-            spoke = votes[:, j] != ABSTAIN
-            said = np.where(spoke, votes[:, j], YES)
-            log += np.where(spoke, np.log(p[1, said] / p[0, said]), 0)
+            said = np.select([votes[:, j] == YES, votes[:, j] == NO], [1, -1], 0)
+            agreed = np.select([said > 0, said < 0], [q, 1 - q], 0.0)
+            right[j] = float(((n * agreed).sum() + prior[0]) / (n[said != 0].sum() + sum(prior)))
+            log += said * math.log(right[j] / (1 - right[j]))
         q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return q, table
+    return q, right
 
 
 def searched(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -175,7 +173,7 @@ def learn(found: DataFrame, rounds: int = 3000, decay: float = 1e-3) -> Classifi
     return Classifier(round(float(b), 6), weights, dict(zip(LABELERS, reliability, strict=True)))
 
 
-def find(found: DataFrame, model: Classifier | None, least: float = 0.9) -> DataFrame:
+def find(found: DataFrame, model: Classifier | None, least: float = 0.8) -> DataFrame:
     """``row``, arrays of base spans by kind, and ``pii``: what the classifier adds at ``least``, of the ADDED kinds."""
 
     def good(x: Column) -> Column:
