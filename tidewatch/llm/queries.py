@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm_score, order_minhash, piece_codec, pii, quality, secret_scan, url_filter
+from . import chat, decontam, langid, lm_score, order_minhash, parts, piece_codec, pii, quality, secret_scan, url_filter
 from .common import stored, table
 
 #: A SentencePiece model with byte fallback.
@@ -62,5 +62,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(lm_score.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_pii, op5_chat, op6_piece_codec, op7_quality_rules, op8_decontamination, op9_url_filter, op10_lm_score)}
-ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_pii, op5_chat, op6_piece_codec, op7_quality_rules, op8_decontamination, op9_url_filter, op10_lm_score)} | parts.QUERIES
+ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE} | parts.ORACLES
