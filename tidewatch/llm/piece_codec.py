@@ -33,9 +33,11 @@ MARK = "▁"
 #: Stands for the mark itself where a text holds it; no character has this code.
 OTHER = 0x110000
 #: Characters that are encoded at once; a text longer than that goes in parts, so that memory follows this and not the text.
-CHUNK = 1 << 18
-#: A longer segment is cut, as no word of any language is.
-LONGEST = 1 << 16
+CHUNK = 1 << 19
+#: A longer segment is cut, as no word of any language is; places in a segment are 16-bit numbers.
+LONGEST = 1 << 15
+#: More than the characters of any piece.
+WIDEST = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEGMENT = re.compile(" +[^ ]*")
 
@@ -53,9 +55,19 @@ def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
 
 
+class Numbered(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        out = self[key] = len(self)
+        return out
+
+
 class Vocabulary:
     """Pieces, their weights, and a table of the hashes of all their prefixes by length."""
 
+    NOTHING = -2
+
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], special: set[int], alpha: float = 1.0) -> None:
         self.size = len(pieces)
         usable = [i for i in range(self.size) if i not in special and i not in set(byte_ids) and pieces[i]]
@@ -81,14 +93,22 @@ class Vocabulary:
                     found.append({})
                 found[k - 1].setdefault(p[:k], -1)
             found[len(p) - 1][p] = i
+        if len(found) >= WIDEST:
+            raise ValueError(f"a piece has {len(found)} characters")
+        #: By code point: the piece of that one character, NOTHING if no piece begins with it, or between them if only longer ones do.
+        self.first = np.full(OTHER + 1, self.NOTHING, np.int32)
+        #: By length: hashes of all prefixes in order, with one that is none at the end; their pieces, or -1; and their last characters.
         self.prefixes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, table in enumerate(found, 1):
             codes = np.frombuffer("".join(table).encode("utf-32-le"), np.uint32).reshape(-1, k)
+            ids = np.fromiter(table.values(), np.int32, len(table))
+            if k == 1:
+                self.first[codes[:, 0]] = ids
             h = np.zeros(len(codes), np.uint64)
             for j in range(k):
                 h = h * _BASE + codes[:, j].astype(np.uint64)
             order = np.argsort(h)
-            self.prefixes.append((h[order], np.fromiter(table.values(), np.int64, len(table))[order], codes[order]))
+            self.prefixes.append((np.append(h[order], np.uint64(0)), np.append(ids[order], np.int32(-1)), np.append(codes[order, -1], np.uint32(OTHER + 1))))
 
     @classmethod
     def load(cls, path: str, alpha: float = 1.0) -> Vocabulary:
@@ -114,58 +134,58 @@ class Vocabulary:
         lens = np.fromiter(map(len, segments), np.int64, len(segments))
         ends = np.cumsum(lens)
         seg = np.repeat(np.arange(len(lens)), lens)
-        left = ends[seg] - np.arange(len(codes))  # characters from here to the segment's end
-        offset = lens[seg] - left
-        node = np.arange(len(codes)) + seg  # each segment has a node more than characters
-        e_at, e_len, e_tok = [], [], []
-        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        single = np.zeros(len(codes), bool)
-        for k, (hashes, ids, spelled) in enumerate(self.prefixes, 1):
+        here = np.arange(len(codes), dtype=np.int32)
+        left = ends[seg].astype(np.int32) - here  # characters from here to the segment's end
+        offset = lens[seg].astype(np.int32) - left
+        node = here + seg.astype(np.int32)  # each segment has a node more than characters
+        first = self.first[codes]
+        rest, at = np.flatnonzero(first < 0).astype(np.int32), np.flatnonzero(first >= 0).astype(np.int32)
+        e_at, e_len, e_tok = [at], [np.ones(len(at), np.int32)], [first[at]]
+        at, h = np.flatnonzero(first > self.NOTHING).astype(np.int32), None
+        for k, (hashes, ids, spelled) in enumerate(self.prefixes[1:], 2):
             fits = left[at] >= k
-            at, h = at[fits], h[fits]
+            at, h = at[fits], codes[at[fits]].astype(np.uint64) if h is None else h[fits]
             if not len(at):
                 break
-            h = h * _BASE + codes[at + k - 1].astype(np.uint64)
-            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            ok = (hashes[spot] == h) & (spelled[spot, -1] == codes[at + k - 1])
-            at, h, spot = at[ok], h[ok], spot[ok]
-            token = ids[spot]
+            last = codes[at + (k - 1)]
+            h = h * _BASE + last
+            spot = np.searchsorted(hashes[:-1], h)
+            ok = (hashes[spot] == h) & (spelled[spot] == last)
+            at, h, token = at[ok], h[ok], ids[spot[ok]]
             whole = token >= 0
             e_at.append(at[whole])
-            e_len.append(np.full(int(whole.sum()), k))
+            e_len.append(np.full(len(e_at[-1]), k, np.int32))
             e_tok.append(token[whole])
-            if k == 1:
-                single[at[whole]] = True
-        rest = np.flatnonzero(~single)
         chars, which = np.unique(codes[rest], return_inverse=True)
         spelled_bytes = [chr(ord(MARK) if c == OTHER else c).encode() for c in chars.tolist()]
         e_at.append(rest)
-        e_len.append(np.ones(len(rest), np.int64))
-        e_tok.append(self.size + which)
+        e_len.append(np.ones(len(rest), np.int32))
+        e_tok.append((self.size + which).astype(np.int32))
         a, n, tok = (np.concatenate(x) for x in (e_at, e_len, e_tok))
         extra = np.array([len(x) * self.byte_logw for x in spelled_bytes])
         logw = np.concatenate([self.logw, extra])[tok]
         start, end, to = node[a], node[a] + n, offset[a] + n
-        order = np.lexsort((end, to))  # all edges to places k, then to places k + 1, by segment
-        start, end, tok, logw, to = start[order], end[order], tok[order], logw[order], to[order]
+        by_end = np.argsort(end.astype(np.int64) * WIDEST + n)  # no two edges are equal in both
+        start, end, tok, to = start[by_end], end[by_end], tok[by_end], to[by_end].astype(np.uint16)
+        order = np.argsort(to, kind="stable")  # all edges to places k, then to places k + 1, by node
+        back, steps = (start, end), np.searchsorted(to[order], np.arange(1, int(to.max(initial=0)) + 2))
+        start, end, logw = start[order], end[order], logw[by_end][order]
         nodes = len(codes) + len(lens)
         alpha, share = np.zeros(nodes), np.empty(len(start))
-        steps = np.searchsorted(to, np.arange(1, (to[-1] if len(to) else 0) + 2))
         for lo, hi in zip(steps[:-1], steps[1:], strict=True):
             v = alpha[start[lo:hi]] + logw[lo:hi]
             e = end[lo:hi]
-            first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            size = np.diff(np.append(first, hi - lo))
-            top = np.repeat(np.maximum.reduceat(v, first), size)
+            head = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            size = np.diff(np.append(head, hi - lo))
+            top = np.repeat(np.maximum.reduceat(v, head), size)
             w = np.exp(v - top)
-            total = np.add.reduceat(w, first)
-            alpha[e[first]] = top[first] + np.log(total)
+            total = np.add.reduceat(w, head)
+            alpha[e[head]] = top[head] + np.log(total)
             share[lo:hi] = w / np.repeat(total, size)
-        order = np.argsort(end, kind="stable")
-        start, end, tok, share = start[order], end[order], tok[order], share[order]
-        ptr = np.searchsorted(end, np.arange(nodes + 1))
+        (start, end), share[order] = back, share.copy()
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=nodes))])
         run = np.cumsum(share)
-        cum = run - np.concatenate([[0.0], run])[ptr[end]]
+        cum = run - np.repeat(np.concatenate([[0.0], run])[ptr[:-1]], np.diff(ptr))
         cum[ptr[1:][np.diff(ptr) > 0] - 1] = 2.0  # the last edge takes what is left
         table_len = np.concatenate([np.ones(self.size, np.int64), np.array([len(x) for x in spelled_bytes], np.int64)])
         table = np.concatenate([np.arange(self.size, dtype=np.int32), self.byte_ids[np.frombuffer(b"".join(spelled_bytes), np.uint8)]])
@@ -173,12 +193,12 @@ class Vocabulary:
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        return self.encode_segments([list(segments(t)) for t in texts], keys, np.zeros(len(texts), np.int64), seed)
+        return self.encode_segments([segments(t) for t in texts], keys, np.zeros(len(texts), np.int64), seed)
 
     def encode_segments(self, parts: list[list[str]], keys: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts in a row, number of ids of each); a part is the segments of a text from number ``first`` on."""
-        index: dict[str, int] = {}
-        which = [np.fromiter((index.setdefault(x, len(index)) for x in part), np.int64, len(part)) for part in parts]
+        index = Numbered()
+        which = [np.fromiter(map(index.__getitem__, part), np.int64, len(part)) for part in parts]
         per = np.fromiter(map(len, parts), np.int64, len(parts))
         if not index:
             return np.zeros(0, np.int32), per
@@ -226,32 +246,32 @@ class Vocabulary:
         return self.decode_bytes(np.asarray(ids, np.int64))[1:].decode("utf-8", "replace")
 
 
-def segments(text: str) -> Iterator[str]:
+def segments(text: str) -> list[str]:
     """The segments of a text with a space before it; none of an empty one."""
-    if not text:
-        return
-    for found in _SEGMENT.finditer(" " + text):
-        s = found.group()
-        for k in range(0, len(s), LONGEST):
-            yield s[k : k + LONGEST]
+    found = _SEGMENT.findall(" " + text) if text else []
+    if len(text) < LONGEST:
+        return found
+    return [s[k : k + LONGEST] for s in found for k in range(0, len(s), LONGEST)]
 
 
 def _parts(text: str) -> Iterator[list[str]]:
     """The segments of a text in lists of about CHUNK characters."""
     part, n = [], 0
-    for s in segments(text):
-        part.append(s)
-        n += len(s)
-        if n >= CHUNK:
-            yield part
-            part, n = [], 0
+    for found in _SEGMENT.finditer(" " + text if text else ""):
+        s = found.group()
+        for k in range(0, len(s), LONGEST):
+            part.append(s[k : k + LONGEST])
+            n += len(part[-1])
+            if n >= CHUNK:
+                yield part
+                part, n = [], 0
     if part:
         yield part
 
 
 def _encode_rows(v: Vocabulary, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each, whether each decodes to itself)."""
-    if len(texts) == 1:
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
         found, same, number = [], True, 0
         for part in _parts(texts[0]):
             ids, _ = v.encode_segments([part], keys, np.array([number]), seed)
