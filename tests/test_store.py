@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import cleaning, evaluate, features, garch, recursions, reports, walkforward
-from tidewatch.plans import nightly, schema
+from tidewatch.operators import audit, cleaning, evaluate, features, garch, recursions, reports, walkforward
+from tidewatch.plans import nightly, schema, session
 from tidewatch.sources import ingest, market, storage
 from tidewatch.streaming import streams
 
@@ -37,6 +37,26 @@ def test_upsert_rewrites_touched_months_only(spark, tmp_path):
     assert store.replace("raw", rows.limit(0)) == 0 and store.count("raw") == 0 and store.exists("raw")
 
 
+def test_tables_change_together(spark, tmp_path, monkeypatch):
+    store = store_of(spark, tmp_path)
+    one, two = frame(spark, bars("A", 5)), frame(spark, bars("A", 7))
+    assert store.replace_all({"a": one, "b": one}) == {"a": 5, "b": 5}
+    monkeypatch.setattr(store, "_publish", lambda *rows: None)  # a run that dies before its last step
+    store.replace_all({"a": two, "b": two})
+    assert store.count("a") == store.count("b") == 5
+
+
+def test_audit_of_a_provider(spark):
+    actions = spark.createDataFrame([("AA", D(1996, 2, 1), "split")], "ticker string, ex_date date, note string")
+    metrics, around = audit.run(Server(spark, "one"), ("AA", "CC"), "1996-03-20", calendar(spark), actions, indexes=("CC",))
+    assert {r["ticker"]: r["n_missing"] for r in metrics.collect()} == {"AA": 0, "CC": 0} and around.first()["continuous"]
+
+
+def test_session_settings(spark):
+    got = session.session(session.Settings("file:///s", spark.conf.get("spark.checkpoint.dir"), {"spark.sql.shuffle.partitions": "4"}))
+    assert got.conf.get("spark.sql.adaptive.enabled") == "true" and got.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_landing_by_ticker(spark, tmp_path):
     store = store_of(spark, tmp_path)
     both = frame(spark, bars("^VIX", 20), bars("B", 20, 2))

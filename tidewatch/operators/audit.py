@@ -43,6 +43,16 @@ def audit(bars: DataFrame, calendar: DataFrame, indexes: tuple[str, ...] = ()) -
     )
 
 
+def run(provider, tickers: tuple[str, ...], as_of: str, calendar: DataFrame, actions: DataFrame, years: int = 10, indexes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """:func:`audit` and :func:`around_actions` of the last ``years`` of the tickers' bars as a provider has them."""
+    start = f"{int(as_of[:4]) - years}{as_of[4:]}" if not as_of.endswith("02-29") else f"{int(as_of[:4]) - years}-02-28"
+    bars = None
+    for t in tickers:
+        one = provider.fetch(t, start, as_of)
+        bars = one if bars is None else bars.unionByName(one)
+    return audit(bars, calendar, indexes), around_actions(bars, actions)
+
+
 def around_actions(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Per corporate action (ticker, ex_date, note): whether the adjusted series is continuous within a week of it."""
     near = F.col("trade_date").between(F.date_sub("ex_date", ACTION_DAYS), F.date_add("ex_date", ACTION_DAYS))

@@ -117,8 +117,7 @@ def run(spark: SparkSession, store: Store, raw: DataFrame | None, calendar: Data
         fore, feats, bars = store.read("forecasts"), store.read("features"), store.read("clean")
         night.rows["ablation"] = store.upsert("ablation", evaluate.ablation(fore, feats), ["ticker", "model"])
         rows = risk.common_returns(fore, bars)
-        night.rows["coverage"] = store.replace("coverage", risk.with_p(risk.backtest(fore, bars, feats)))
-        night.rows["breaches"] = store.replace("breaches", risk.breaches(rows))
+        night.rows |= store.replace_all({"coverage": risk.with_p(risk.backtest(fore, bars, feats)), "breaches": risk.breaches(rows)})
         if risk.trigger(store.read("coverage")).first()[0]:
             put(risk.calibrated(rows, feats), False)
             put(risk.calibrated_live(fore.where("is_live"), feats), True)

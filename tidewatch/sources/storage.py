@@ -51,12 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+MANIFEST = "name string, version long, parts map<string,string>"
+
+
 class Store:
     """Tables under a folder, as Parquet parts by month, ticker or whole, named by a manifest.
 
     A write goes to a new version folder and touches only the parts that its rows fall
-    into; then one appended manifest row names the parts of the table, so that a reader
-    sees all of a write or nothing.  Within a part rows are sorted, for skipping by
+    into; then one appended manifest file names the parts of the table, or of several that
+    change together, so that a reader sees all of a write or nothing.  Within a part rows are sorted, for skipping by
     statistics, and dealt over ``FILES`` tasks by ticker.
     """
 
@@ -70,8 +73,8 @@ class Store:
         from pyspark.errors import AnalysisException
 
         try:
-            rows = self.spark.read.schema("version long, parts map<string,string>").json(f"{self.folder}/{name}/_manifest")
-            found = rows.orderBy(F.desc("version")).first()
+            rows = self.spark.read.schema(MANIFEST).json(f"{self.folder}/_manifest")
+            found = rows.where(F.col("name") == name).orderBy(F.desc("version")).first()
         except AnalysisException:
             found = None
         return (found["version"], dict(found["parts"] or {})) if found else (0, {})
@@ -88,8 +91,8 @@ class Store:
     def count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0
 
-    def _commit(self, name: str, rows: DataFrame, part: Column, written: set[str], stays: dict[str, str], version: int) -> None:
-        """Writes ``rows``, whose values of ``part`` are ``written``, as a version; with what ``stays`` it is the table."""
+    def _written(self, name: str, rows: DataFrame, part: Column, written: set[str], stays: dict[str, str], version: int) -> tuple[str, int, dict[str, str]]:
+        """Writes ``rows``, whose values of ``part`` are ``written``, as a version, which with what ``stays`` is the table; its manifest row."""
         order = [c for c in ("model", "ticker", "trade_date") if c in rows.columns]
         dealt = [F.pmod(F.xxhash64("ticker"), F.lit(self.FILES))] if "ticker" in rows.columns else []
         path, parts = f"v{version}", dict(stays)
@@ -102,8 +105,10 @@ class Store:
             parts = {"empty": f"{path}/empty"}
         if len(parts) > 1:
             parts.pop("empty", None)
-        row = self.spark.createDataFrame([(version, parts)], "version long, parts map<string,string>")
-        row.coalesce(1).write.mode("append").json(f"{self.folder}/{name}/_manifest")
+        return name, version, parts
+
+    def _publish(self, *rows: tuple[str, int, dict[str, str]]) -> None:
+        self.spark.createDataFrame(list(rows), MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/_manifest")
 
     @staticmethod
     def _by_month(df: DataFrame) -> Column:
@@ -111,9 +116,18 @@ class Store:
 
     def replace(self, name: str, df: DataFrame) -> int:
         """Whole new content; the row count."""
-        df, month = stage(df, "replace"), self._by_month(df)
-        self._commit(name, df, month, {r[0] for r in df.select(month).distinct().collect()}, {}, self._manifest(name)[0] + 1)
-        return df.count()
+        return self.replace_all({name: df})[name]
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> dict[str, int]:
+        """Whole new content of several tables, seen by readers at once; their row counts."""
+        done, rows = {}, []
+        for name, df in tables.items():
+            df = stage(df, "replace")
+            month = self._by_month(df)
+            rows.append(self._written(name, df, month, {r[0] for r in df.select(month).distinct().collect()}, {}, self._manifest(name)[0] + 1))
+            done[name] = df.count()
+        self._publish(*rows)
+        return done
 
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> int:
         """:func:`merge` into the months that ``df`` falls into, loaded_at renewed; the number of new keys."""
@@ -126,7 +140,7 @@ class Store:
         if old:
             rows = stage(merge(self._opened(name, old), rows, keys), "merged")
         before = self._opened(name, old).count() if old else 0
-        self._commit(name, rows, month, touched, {k: f for k, f in parts.items() if k not in touched}, version + 1)
+        self._publish(self._written(name, rows, month, touched, {k: f for k, f in parts.items() if k not in touched}, version + 1))
         return rows.count() - before
 
     def land(self, bars: DataFrame, force: bool = False) -> DataFrame:
@@ -140,7 +154,7 @@ class Store:
         if taken:
             rows = bars.join(F.broadcast(result.where("status = 'written'").select("ticker")), "ticker", "left_semi").select(*bars.columns)
             gone = {"t" + t.encode().hex().upper() for t in taken}
-            self._commit("landing", rows, F.concat(F.lit("t"), F.hex("ticker")), gone, {k: f for k, f in parts.items() if k not in gone}, version + 1)
+            self._publish(self._written("landing", rows, F.concat(F.lit("t"), F.hex("ticker")), gone, {k: f for k, f in parts.items() if k not in gone}, version + 1))
         return result
 
     def increment(self, bars: DataFrame, load_date: str) -> None:
