@@ -655,6 +655,58 @@ def test_forest_isolates_odd_rows():
         assert path[k] >= depth
 
 
+def test_threshold_against_brute_force(spark):
+    rng = random.Random(80)
+    for seed in range(3):
+        rows = [(i % 60 if i else None, 100 if rng.random() < 0.9 else 10, 0, round(rng.random(), 1)) for i in range(90)]
+        marks = [(i, rng.choice([0, 1, 1, None]), 0) for i in range(70)] + [(None, 0, 0), (3, 0, 0)]
+        table = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, anomaly double")
+        labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+        least = {}
+        for i, q, _ in marks:
+            if i is not None and q is not None:
+                least[i] = min(q, least.get(i, 1))
+        known = [(a, least[i]) for i, n, _, a in rows if n >= 50 and i in least]
+
+        def gain(cut, known=known):
+            share = lambda q: np.mean([a > cut for a, x in known if x == q])
+            return share(0) - share(1)
+
+        got = quality.threshold(table, labels)
+        assert gain(got) == pytest.approx(max(0.0, *(gain(a) for a, _ in known)))
+    assert quality.threshold(table, labels.where("quality = 1")) == 1.0
+
+
+def test_language_judgement_against_brute_force():
+    texts = {"en": [words(random.Random(k), EN, 30) for k in range(6)], "de": [words(random.Random(k), DE, 30) for k in range(6)]}
+    model = langid.kneser_ney({lang: tuple(np.unique(langid._grams(s, 4)[langid._scored(s, at)], return_counts=True)) for lang, t in texts.items() for s, at in [langid._symbols(t)]})
+    held = [(lang, words(random.Random(100 + k), v, 5 + 9 * (k % 5))) for lang, v in (("en", EN), ("de", DE)) for k in range(120)]
+    h, n = langid.cross_entropies(model, [t for _, t in held])
+    pdf = __import__("pandas").DataFrame({"lang": [x for x, _ in held], "n": n, "h": list(h)})
+    langid._calibrate(model, pdf, 1.25)
+    for j, lang in enumerate(model.langs):
+        own = [i for i, (x, _) in enumerate(held) if x == lang]
+        mean = sum(h[i, j] * n[i] for i in own) / sum(n[i] for i in own)
+        assert model.mean[j] == pytest.approx(mean)
+        for k in range(len(langid.CLASSES) + 1):
+            some = [i for i in own if sum(n[i] >= c for c in langid.CLASSES) == k]
+            some = some if len(some) >= langid.CLASS_DOCS else own
+            bound = max(0.25 * (math.log(1 / math.exp(model.floor)) - mean), 1.25 * np.quantile([h[i, j] - mean for i in some], 0.98))
+            assert model.bounds[j, k] == pytest.approx(bound)
+    tests = [held[0][1], held[200][1], "zq xv wq " * 30, "", "12 34"]
+    got = langid.judge(model, tests)
+    for i, t in enumerate(tests):
+        ce, count = (x[0] for x in langid.cross_entropies(model, [t]))
+        if not count:
+            assert (got["lang_pred"][i], got["score"][i], got["rejected"][i]) == ("und", 0.0, True)
+            continue
+        best = int(np.argmin(ce))
+        e = [math.exp(-model.temper * (x - min(ce)) * math.sqrt(count)) for x in ce]
+        assert got["lang_pred"][i] == model.langs[best] and got["score"][i] == pytest.approx(1 / sum(e), abs=1e-6)
+        assert got["rejected"][i] == (ce[best] - model.mean[best] > model.bounds[best, sum(count >= c for c in langid.CLASSES)])
+    assert got["rejected"][2] and not got["rejected"][0]
+
+
 def test_the_cut_catches_bad_rows(spark):
     rows = [(i, 60, 0, 0.4 + (i % 50) / 500) for i in range(100)] + [(i, 60, 0, 0.48 + (i % 20) / 200) for i in range(100, 120)] + [(120, 3, 0, 0.9)]
     stats = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, anomaly double")
