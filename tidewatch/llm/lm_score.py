@@ -167,9 +167,12 @@ def _dealt(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, ``target``: whether the row is labelled good, and ``half``, by a hash of its text."""
+    """doc_id, text, ``target``: whether the row is labelled good, and ``half``, by a hash of its text.
+
+    Labels grow with the documents, so they are joined by a shuffle at every size.
+    """
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good, F.col("doc_id") == F.col("good_id"), "left")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
     return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"), F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"))
 
 
