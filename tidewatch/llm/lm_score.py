@@ -41,6 +41,8 @@ from .common import stored
 
 ORDER = 4
 BLOCK = 32_000_000
+#: The characters that a partition should have.
+LEAST = 4_000_000
 #: A block also ends with so many distinct 4-grams; both are looked at after each SLICE characters.
 DISTINCT, SLICE = 1 << 20, 1 << 21
 CHUNK = 1 << 20
@@ -167,18 +169,23 @@ def _dealt(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, ``target``: whether the row is labelled good, and ``half``, by a hash of its text.
+    """doc_id, text, its ``size``, ``target``: whether the row is labelled good, and ``half``, by a hash of its text.
 
     Labels grow with the documents, so they are joined by a shuffle at every size.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"), F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.length("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    return rows.select("doc_id", "text", "size", F.col("good_id").isNotNull().alias("target"), F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """:func:`marked`'s rows in blocks; stored, as a block's number holds for one reading."""
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    """:func:`marked`'s rows in blocks; stored, as a block's number holds for one reading.
+
+    Partitions of fewer than LEAST characters are read together, for a block's distinct
+    4-grams are many beside its characters where it is small.
+    """
+    chars = rows.agg(F.sum("size")).first()[0] or 0  # the texts themselves aren't shuffled for this
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "target", "half").coalesce(-(-chars // LEAST) or 1)
     return stored(rows.mapInPandas(_dealt, "block long, doc_id string, text string, fold int, keys array<long>, " + ", ".join(f"{c} array<long>" for c in KINDS)), "lm-blocks")
 
 
