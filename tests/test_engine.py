@@ -260,8 +260,8 @@ def test_ewma(clean):
     bad, cut = spoiled(clean, "log_return")
     assert until(recursions.ewma_forecasts(bad), cut) == pytest.approx(until(recursions.ewma_forecasts(clean), cut), rel=1e-12)
     assert recursions.ewma_forecasts(clean.where(F.col("trade_date") < D(1997, 1, 1))).count() == 0
-    with pytest.raises(Exception, match="rows"):
-        recursions.garch_filter(clean, recursions.GarchParams(0, 1, 0.1, 0.2)).collect()
+    steep = recursions.garch_filter(clean, recursions.GarchParams(0, 1, 0.1, 0.2)).where("ticker = 'AAA'").orderBy("trade_date").collect()
+    assert recursions.block_rows(0.2) < len(steep) and all(b["variance_pct2"] == pytest.approx(a["next_variance_pct2"], rel=1e-12) for a, b in zip(steep, steep[1:]))
 
 
 def test_garch_filter(clean):
