@@ -448,6 +448,52 @@ def test_finer_keys_leave_the_crowd():
     assert rounds < 40
 
 
+def same_classes(spark, texts):
+    """The classes of ``texts`` are those of all pairs."""
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(frame(spark, texts)).collect()}
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and order_minhash.alike(texts[i], texts[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root))
+    return len(texts) - len(set(root))
+
+
+def test_links_that_no_sketch_finds(spark, monkeypatch):
+    """Pairs at the threshold of all lengths, evenly spread edits, under sketches that hardly ever meet; odd spaces part words too."""
+    rng = random.Random(70)
+    vocabulary = ["w%d" % i for i in range(400)]
+    texts = []
+    for k in range(120):
+        n = rng.choice([12, 13, 14, 15, 16, 17, 20, 24, 25, 40, 99, 150])
+        a = words(rng, vocabulary, n).split()
+        b, step = list(a), rng.randrange(5)
+        for e, i in enumerate(sorted(range(step, n, 5)[: n // 5], reverse=True)):
+            b[i : i + 1] = [["edit%d" % e], [], [b[i], "edit%d" % e]][k % 3]
+        texts += [" ".join(a), ("\u00a0" if k % 4 == 0 else " ").join(b)]
+    monkeypatch.setattr(order_minhash, "BANDS", 1)
+    assert same_classes(spark, texts) > 100
+
+
+def test_first_grams_of_pairs_within_the_budget_agree():
+    rng = random.Random(71)
+    vocabulary = ["w%d" % i for i in range(12)]
+    known, none, found = order_minhash.Hashes(), np.zeros(0, np.uint64), 0
+    for _ in range(6000):
+        a = words(rng, vocabulary, rng.randint(1, 60)).split()
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 4 + 1)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = ["x%d" % i] * rng.randint(0, 1)
+        if b and order_minhash.alike(" ".join(a), " ".join(b)):
+            found += 1
+            (x, p), (y, q) = (order_minhash.first_grams(order_minhash.word_hashes(t, known), none, none) for t in (a, b))
+            assert len(np.intersect1d(x, y)) >= min(p, q), (a, b)
+    assert found > 1000
+
+
 def test_classes_of_awkward_tables(spark):
     empty = frame(spark, ["a"]).limit(0)
     assert order_minhash.classes(empty).count() == 0
