@@ -461,8 +461,8 @@ def same_classes(spark, texts):
     return len(texts) - len(set(root))
 
 
-def test_links_that_no_sketch_finds(spark, monkeypatch):
-    """Pairs at the threshold of all lengths, evenly spread edits, under sketches that hardly ever meet; odd spaces part words too."""
+def test_links_at_the_threshold(spark):
+    """Pairs at the threshold of all lengths, with evenly spread edits; odd spaces part words too."""
     rng = random.Random(70)
     vocabulary = ["w%d" % i for i in range(400)]
     texts = []
@@ -473,10 +473,24 @@ def test_links_that_no_sketch_finds(spark, monkeypatch):
         for e, i in enumerate(sorted(range(step, n, 5)[: n // 5], reverse=True)):
             b[i : i + 1] = [["edit%d" % e], [], [b[i], "edit%d" % e]][k % 3]
         texts += [" ".join(a), ("\u00a0" if k % 4 == 0 else " ").join(b)]
-    monkeypatch.setattr(order_minhash, "BANDS", 1)
     assert same_classes(spark, texts) > 100
 
 
+def test_links_in_crowded_buckets(spark, monkeypatch):
+    """Texts that share a passage and are unlike, with a few pairs whose edits spoil each k-mer of the rest."""
+    monkeypatch.setattr(order_minhash, "CROWD", 4)
+    rng = random.Random(72)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    passage = words(rng, vocabulary, 60)
+    texts = [f"{passage} {words(rng, vocabulary, 40)}" for _ in range(60)]
+    for t in texts[:12]:
+        copy = t.split()
+        for i in range(61, 100, 2):
+            copy[i] = f"edit{i}-{len(texts)}"
+        texts.append(" ".join(copy))
+    assert same_classes(spark, texts) == 12
+
+
 def test_first_grams_of_pairs_within_the_budget_agree():
     rng = random.Random(71)
     vocabulary = ["w%d" % i for i in range(12)]
