@@ -508,6 +508,45 @@ def test_first_grams_of_pairs_within_the_budget_agree():
     assert found > 1000
 
 
+@pytest.mark.parametrize("gram, apart", sorted(set(order_minhash.LEVELS)))
+def test_places_allow_pairs_within_the_budget(gram, apart):
+    """Repeated words, runs and edits of all kinds: enough shared keys of each alike pair are at places that allow it."""
+    rng = random.Random(73)
+    vocabulary = ["w%d" % i for i in range(12)] + ["v%d" % i for i in range(400)]
+    known, none, found = order_minhash.Hashes(), np.zeros(0, np.uint64), 0
+    for k in range(6000):
+        a = words(rng, vocabulary[: 12 if k % 2 else 412], rng.randint(1, 90)).split() + ["run", "on"] * rng.choice([0, 0, 0, 10])
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 4 + 1)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 1)
+        if b and order_minhash.alike(" ".join(a), " ".join(b)):
+            found += 1
+            rows = [(key, place, i, len(t)) for i, t in enumerate((a, b)) for key, place in zip(*order_minhash.placed_grams(order_minhash.word_hashes(t, known), none, none, gram, apart), strict=True)]
+            key, place, node, size = (np.array(x) for x in zip(*sorted(rows, key=lambda r: (r[0], r[2])), strict=True))
+            pairs = list(order_minhash._pairs(key, place.astype(np.uint8), node, node, size, gram, apart, None))
+            assert pairs and pairs[0]["n"].sum() >= pairs[0]["least"].iloc[0], (a, b)
+    assert found > 1000
+
+
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share a passage, and short ones that share a line, in classes of their own: no pair of each two, and every link."""
+    monkeypatch.setattr(order_minhash, "SHARED", 4)
+    rng = random.Random(74)
+    vocabulary = ["w%d" % i for i in range(20000)]
+    passage, line = words(rng, vocabulary, 60), words(rng, vocabulary, 9)
+    texts = [f"{passage} {words(rng, vocabulary, 40)}" for _ in range(150)] + [f"{line} {words(rng, vocabulary, 4)}" for _ in range(150)]
+    for t in texts[:8] + texts[150:158]:
+        copy = t.split()
+        for i in range(len(copy) - 1, len(copy) - 1 - len(copy) // 5, -1):
+            copy[i] = f"edit{i}-{len(texts)}"
+        texts.append(" ".join(copy))
+    heads = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    met = {(r["a"], r["b"]) for r in order_minhash._met(heads, spark.createDataFrame([], "node long, root long")).collect()}
+    assert {(j, i) for i in range(len(texts)) for j in range(i) if order_minhash.alike(texts[i], texts[j])} <= met
+    assert len(met) < len(texts) * 2
+
+
 def test_classes_of_awkward_tables(spark):
     empty = frame(spark, ["a"]).limit(0)
     assert order_minhash.classes(empty).count() == 0
